@@ -20,8 +20,8 @@ from tesserae.llm.common import per_text, tokenizer_path
 
 SPACE = "▁"
 BLOCK = 1 << 16  # characters in a chunk of a long text
-WORDS = 150_000  # memoised words of a generation; a worker holds two generations
-STATES = 150_000  # states a worker holds; then it compiles anew
+WORDS = 300_000  # memoised words of a generation; a worker holds two generations
+STATES = 350_000  # states a worker holds; then it compiles anew
 
 COUNTS = "n_bytes long, n_tokens long, over_limit boolean"
 
@@ -114,12 +114,12 @@ class Transducer:
         return state, total
 
     def word(self, word: str) -> int:
-        """Tokens of a word start and word, from the start state, memoised."""
+        """Tokens, from the start state, of a space and word; of word alone if it begins with a line feed. Memoised."""
         n = self.words.get(word)
         if n is None:
             n = self.older.get(word)
             if n is None:
-                n = self.run(0, SPACE + word)[1]
+                n = self.run(0, word if word[:1] == "\n" else SPACE + word)[1]
             self.words[word] = n
         return n
 
@@ -130,7 +130,7 @@ class Transducer:
         if not words:
             return head, None, 0
         state, last = self.run(0, words[-1])
-        return head, state, sum(self.word(w[1:]) for w in words[:-1]) + last
+        return head, state, sum(self.run(0, w)[1] if w[1:2] == "\n" else self.word(w[1:]) for w in words[:-1]) + last
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         if a[1] is None and a[0].endswith(SPACE) and b[0] == "" and b[1] is not None:
@@ -147,11 +147,15 @@ class Transducer:
             self.restart()
         if len(self.words) > WORDS:
             self.words, self.older = {}, self.words
-        if len(text) <= BLOCK and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            words = text.split(" ")
+        cut = "\n" in text
+        if cut and ("\n" in self.pieces or " \n" in text or text[0] == "\n"):
+            pass
+        elif len(text) <= BLOCK and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            # a line feed is no piece: it emits its byte's token and leads back to the start state, as a space does
+            words = (text.replace("\n", " \n") if cut else text).split(" ")
             counts = list(map(self.words.get, words))
             if None in counts:
-                counts = map(self.word, words)
+                counts = [self.word(w) if n is None else n for w, n in zip(words, counts, strict=True)]
             return sum(counts)
         text = SPACE + text.replace(" ", SPACE)
         cuts = [0]
