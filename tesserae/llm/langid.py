@@ -20,7 +20,7 @@ from tesserae.llm.common import per_text
 WINDOW = 256  # bytes
 WIDTHS = (2, 4, 6)
 FILTERS = 16  # of each width
-#: The bound of the training sample: texts, and windows of each.
+#: The bound of the training sample: texts (about so many, at most twice), and windows of each.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 3_000, 2
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Windows a batch of texts is worked through by.
@@ -118,19 +118,25 @@ class ByteCNN:
 
 
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteCNN | None:
-    """Trains on at most `texts` labelled rows whose crc32(doc_id) mod 4 is not 2, chosen by a hash of the text; None
-    if there are no labels."""
-    learn = docs.where("lang is not null and text is not null and text <> '' and doc_id is not null").where("crc32(cast(doc_id as string)) % 4 <> 2")
-    rows = learn.select("lang", F.xxhash64("text", "doc_id").alias("k"), "text").orderBy("k", "lang").limit(texts).select("lang", "k", "text").collect()
+    """Trains on about `texts` labelled rows whose crc32(doc_id) mod 4 is not 2, and on at most twice as many: those
+    whose hash lies under a threshold set by their count. Only their windows leave the executors. None if there are no
+    labels."""
+    learn = docs.where("lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "lang", "text")
+    share = min(1.0, texts / max(1, learn.count()))
+    learn = learn.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text is not null and text <> ''")
+    raw = F.encode("text", "UTF-8")
+    n = F.ceil(F.length(raw) / WINDOW).cast("int")
+    at = [F.pmod(F.xxhash64("doc_id") + i * F.greatest(n / SAMPLE_WINDOWS, F.lit(1)).cast("int"), n).cast("int") for i in range(SAMPLE_WINDOWS)]
+    picked = F.transform(F.array_sort(F.array_distinct(F.array(*at))), lambda i: F.substring(raw, i * WINDOW + 1, F.lit(WINDOW)))
+    rows = learn.select("lang", "doc_id", picked.alias("windows")).limit(2 * texts).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["windows"]))
     labels = sorted({r["lang"] for r in rows})
     if not labels:
         return None
     x, y = [], []
     for r in rows:
-        own = windows(r["text"].encode("utf-8", "surrogatepass"))
-        pick = range(len(own)) if len(own) <= SAMPLE_WINDOWS else sorted({(r["k"] + i * (len(own) // SAMPLE_WINDOWS)) % len(own) for i in range(SAMPLE_WINDOWS)})
-        for i in pick:
-            x.append(own[i])
+        for w in r["windows"]:
+            x.append(windows(bytes(w))[0])
             y.append(labels.index(r["lang"]))
     model = ByteCNN(labels)
     if len(labels) > 1:
