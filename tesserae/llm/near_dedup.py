@@ -11,7 +11,9 @@ four deep it is missed with probability (1 - 0.41)**16 = 0.0002, and with one le
 
 Only classes are wanted, so links are confirmed in two steps: first from each node's pivot to its members, then, for
 members still in different components, all pairs of small nodes, and in nodes still large at the last level all
-pairs but those inside the node's largest component. No pair of different components is left out.
+pairs but those inside the node's largest component. No pair of different components is left out. In such large nodes
+the pairs are compared inside tasks, block by block, on the full sets' hashes, and only links that join components
+leave a task: at most one fewer than its members.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tesserae.llm.links import components
 COORDINATES = 64
 TREES, LEVELS, LIMIT = 16, 4, 48
 STAR_TREES = 2
+#: Shingles in a block of a large node. A task holds two blocks.
+BLOCK = 1_000_000
 #: Equal 2-bit sketch coordinates a pair must have: at similarity 0.8, 54 of 64 are expected, and fewer than 40 come
 #: with a probability of 10**-5.
 SKETCH = 40
@@ -147,6 +151,67 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInPandas(run, "a binary, b binary")
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(sid, shingles) of texts (sid, text): the hashes of the full set, eight bytes each."""
+
+    def make():
+        known: dict[bytes, int] = {}
+
+        def one(text: str) -> bytes:
+            if len(known) > 200_000:
+                known.clear()
+            return _hashes(words(text), known).astype("<u8").tobytes()
+
+        return lambda texts: pd.DataFrame({"shingles": [one(t) for t in texts]})
+
+    return texts.select("sid", per_text("shingles binary", make).alias("r")).select("sid", "r.shingles")
+
+
+def joining_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between rows of a block (rest, sid, label, shingles): each row of rest is compared with all others
+    on full sets. Of the links, those that join components (labels) not yet joined."""
+    empty = pd.DataFrame({"a": [], "b": []}, dtype=object)
+    rest, others = block[block["rest"]], block[~block["rest"]]
+    if rest.empty or others.empty:
+        return empty
+    sets = [np.frombuffer(x, dtype="<u8") for x in others["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    shingles = np.concatenate(sets)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    code = {x: k for k, x in enumerate(dict.fromkeys([*others["label"], *rest["label"]]))}
+    joined = np.arange(len(code))
+    of_other, sids = np.array([code[x] for x in others["label"]]), others["sid"].to_numpy()
+    found = []
+    for sid, label, raw in zip(rest["sid"], rest["label"], rest["shingles"], strict=True):
+        x = np.frombuffer(raw, dtype="<u8")
+        start, end = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+        n = end - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        linked = np.flatnonzero(100 * both >= SIMILAR * (len(x) + sizes - both))
+        components_hit, first = np.unique(joined[of_other[linked]], return_index=True)
+        for k, other in zip(components_hit.tolist(), linked[first].tolist(), strict=True):
+            own = joined[code[label]]
+            if k != own:
+                found.append((min(sid, sids[other]), max(sid, sids[other])))
+                joined[joined == k] = own
+    return pd.DataFrame(found, columns=["a", "b"]) if found else empty
+
+
+def dealt_blocks(large: DataFrame) -> DataFrame:
+    """(node, r, g, rest, sid, label) of large (node, sid, n, label): in each node of several components, block r of the
+    members outside the largest one (rest) meets each block g of all members. Blocks hold about BLOCK shingles."""
+    parts = large.groupBy("node", "label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    nodes = parts.groupBy("node").agg(F.max(F.struct("size", "label", "weight")).alias("main"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda weight: F.ceil(weight / BLOCK).cast("int")
+    nodes = nodes.select("node", F.col("main.label").alias("main"), blocks(F.col("weight")).alias("gs"), blocks(F.col("weight") - F.col("main.weight")).alias("rs"))
+    as_any = F.expr("transform(sequence(0, rs - 1), r -> struct(false AS rest, r AS r, cast(pmod(xxhash64(sid), gs) AS int) AS g))")
+    as_rest = F.expr("transform(sequence(0, gs - 1), g -> struct(true AS rest, cast(pmod(xxhash64(sid), rs) AS int) AS r, g AS g))")
+    places = F.when(F.col("label") == F.col("main"), as_any).otherwise(F.concat(as_any, as_rest))
+    return large.join(nodes, "node").select("node", "sid", "label", F.explode(places).alias("p")).select("node", "p.r", "p.g", "p.rest", "sid", "label")
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -168,14 +233,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
     nodes = scratch.table(tree_nodes(reps.select("sid", "n", "tokens", "s1", "s2"), scratch), "nodes")
     scratch.drop(*[f"level{k}" for k in range(LEVELS)])
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(reps.select("sid", "doc_id", "text_md5"), "sid")
+    def texts_of(sids: DataFrame) -> DataFrame:
+        ids = sids.distinct().join(reps.select("sid", "doc_id", "text_md5"), "sid")
         ids = ids.select("sid", F.col("doc_id").alias("rep"), "text_md5")
         return docs.join(ids, (docs.text_md5 == ids.text_md5) & docs.doc_id.eqNullSafe(ids.rep)).select("sid", "text").dropDuplicates(["sid"])
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.table(pairs, f"{name}-pairs")
-        texts = scratch.table(texts_of(pairs), f"{name}-texts")
+        texts = scratch.table(texts_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))), f"{name}-texts")
         links = scratch.table(confirm(pairs, texts), f"{name}-links")
         scratch.drop(f"{name}-texts", f"{name}-pairs")
         return links
@@ -198,18 +263,16 @@ def classes_of(docs: DataFrame) -> DataFrame:
     pairs = small.select("node", F.col("x").alias("a")).join(small.select("node", F.col("x").alias("b")), "node")
     pairs = pairs.where("a.sid < b.sid and a.label <> b.label").where(_alike("a", "b")).select("a.sid", "b.sid")
     large = near.where("large")
-    parts = large.groupBy("node", "label").agg(F.count("*").alias("size"))
-    main = parts.groupBy("node").agg(F.max(F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("node", F.col("main.label").alias("main"))
-    rest = large.join(main, "node")
-    of_rest = rest.where("label <> main").select("node", one.alias("a")).join(rest.select("node", one.alias("b")), "node")
-    of_rest = of_rest.where("a.label <> b.label").where(_alike("a", "b")).select(F.least("a.sid", "b.sid"), F.greatest("a.sid", "b.sid"))
-    more = confirmed(pairs.union(of_rest).toDF("a", "b").distinct(), "rest")
+    blocks = scratch.table(dealt_blocks(large), "blocks")
+    sets = scratch.table(_hashed(texts_of(blocks.select("sid"))), "sets")
+    of_large = blocks.join(sets, "sid").groupBy("node", "r", "g").applyInPandas(joining_links, "a binary, b binary")
+    more = confirmed(pairs.union(of_large).toDF("a", "b").distinct(), "rest")
     labels = scratch.table(components(links.union(more), scratch), "labels")
 
     own = reps.select("sid", "doc_id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = scratch.table(own.join(least, "label").select("sid", "component_id"), "components")
-    scratch.drop("labelled")
+    scratch.drop("labelled", "blocks", "sets")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

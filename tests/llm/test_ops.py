@@ -183,6 +183,28 @@ def test_near_duplicates_of_many_copies(spark):
     assert all(got[i] == 0 for i in range(150)) and all(got[1000 + i] == 1000 + i for i in range(60))
 
 
+def test_near_duplicates_of_large_nodes_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(80)]
+    edited = lambda k: [f"e{rng.integers(1_000_000)}" if j in at else w for at in [set(rng.choice(80, k, replace=False).tolist())] for j, w in enumerate(base)]
+    rows = [(i, " ".join(edited(int(k)))) for i, k in enumerate(rng.integers(2, 14, 160).tolist())]
+    sets = {i: near_dedup.shingle_set(t) for i, t in rows}
+    lowest = {i: i for i in sets}
+    for _ in range(len(sets)):
+        before = dict(lowest)
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    lowest[i] = min(lowest[i], lowest[j])
+        if lowest == before:
+            break
+    # nodes of more than four classes stay large, and their blocks hold a few sets each
+    monkeypatch.setattr(near_dedup, "BLOCK", 1500)
+    monkeypatch.setattr(near_dedup.tree_nodes, "__defaults__", (near_dedup.TREES, near_dedup.LEVELS, 4))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == lowest and 1 < len(set(lowest.values())) < 160
+
+
 def test_license_templates_and_edits(spark):
     rows = [(i, "zz " * 40 + t.upper() + " yy" * 9) for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(99, license_scan.TEMPLATES[9][1].replace("granted", "given"))]
     got = {(r["doc_id"], r["license_id"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
