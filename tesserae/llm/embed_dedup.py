@@ -4,10 +4,16 @@ Equal vectors are one class. A neighbour graph of K neighbours a class starts fr
 trees and is refined by neighbours-of-neighbours joins: at each hub, all pairs of its neighbours (forward and
 reverse) are compared, and those better than what a list holds enter it. Edges of the threshold and more are links.
 
-A list is saturated when even its worst entry is a link: there may be more. The lists of a component with a saturated
-member are enlarged to the whole component, in blocks of bounded size, of which only sums of links leave the task.
-Recall is audited: AUDIT classes, a bounded sample, are compared with all rows; missed links are added, and while
-recall is below RECALL more trees are grown.
+A list is saturated when even its worst entry is a link: there may be more, also to other components. A link that no
+list has lies between two saturated ones, as an unsaturated list has all its class's links. So saturated classes are
+compared with those of all other components: first in the leaves of trees, which join most, then exactly. For the
+exact step they are dealt into cells, each with a centre and the angle within which its members lie; only cells whose
+angles can touch are compared. The lists of a component with a saturated member are then enlarged to the whole
+component, in blocks of bounded size, of which only sums of links leave the task.
+
+Recall of the other lists is audited: AUDIT classes, a bounded sample, are compared with all rows; missed links are
+added, and while recall is below RECALL more trees are grown. If it stays below, all classes count as saturated, so
+that all are compared exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from tesserae.llm.links import components
 K, LEAF, TREES, ROUNDS = 8, 256, 6, 2
 AUDIT, RECALL, MORE = 256, 0.999, 3
 BLOCK = 512
+#: Cells in a block of centres.
+CENTRES = 2048
 EDGE = "cid binary, other binary, sim double"
 
 
@@ -70,9 +78,9 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int, floor: np.ndarray | None =
     return pd.DataFrame({"cid": ids[row], "other": ids[at[good]], "sim": np.clip(sim[good], -1, 1)})
 
 
-def _leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
-    """Edges inside the leaves of random-hyperplane trees. A leaf that stays large, as of many near copies, is dealt
-    out by hash."""
+def _dealt_leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(tree, code, dim, part, cid, unit): the leaves of random-hyperplane trees. A leaf that stays large, as of many
+    near copies, is dealt out by hash."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
 
     def codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,13 +97,17 @@ def _leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) ->
 
     rows = scratch.table(own.mapInPandas(codes, "tree int, code long, dim int, cid binary, unit binary"), "leaves")
     sizes = rows.groupBy("tree", "code", "dim").agg(F.ceil(F.count("*") / (2 * LEAF)).alias("parts"))
-    rows = rows.join(sizes, ["tree", "code", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid", "tree"), F.col("parts")))
+    return rows.join(sizes, ["tree", "code", "dim"]).withColumn("part", F.pmod(F.xxhash64("cid", "tree"), F.col("parts")))
+
+
+def _leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
+    """Edges inside the leaves of random-hyperplane trees."""
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(pdf["unit"])
         return _best(pdf["cid"].to_numpy(), x @ x.T, K)
 
-    return rows.groupBy("tree", "code", "dim", "part").applyInPandas(leaf, EDGE)
+    return _dealt_leaves(own, n, trees, seed, scratch).groupBy("tree", "code", "dim", "part").applyInPandas(leaf, EDGE)
 
 
 def _descend(graph: DataFrame, own: DataFrame) -> DataFrame:
@@ -134,6 +146,76 @@ def _audit(own: DataFrame, threshold: float) -> DataFrame:
     return own.select("cid", "unit").mapInPandas(compare, EDGE)
 
 
+def _joins_in_leaves(members: DataFrame, n: int, threshold: float, seed: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between labels of members (cid, label, unit) that meet in a leaf: in each, those that join
+    components not yet joined there."""
+    rows = _dealt_leaves(members.select("cid", "unit"), n, TREES, seed, scratch).join(members.select("cid", "label"), "cid")
+
+    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
+        code, names = pd.factorize(pdf["label"])
+        x, joined, out = _unit(pdf["unit"]), np.arange(len(names)), []
+        i, j = np.nonzero((x @ x.T >= threshold) & (code[:, None] < code))
+        for a, b in np.unique(np.stack([code[i], code[j]]), axis=1).T.tolist():
+            if joined[a] != joined[b]:
+                joined[joined == joined[b]] = joined[a]
+                out.append((names[a], names[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return rows.groupBy("tree", "code", "dim", "part").applyInPandas(leaf, "a binary, b binary")
+
+
+def _joins_of_cells(members: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of labels of members (cid, label, unit) between which there is a link, by exact comparison."""
+    parts = members.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    members = members.join(parts, "label").withColumn("cell", F.concat("label", F.encode(F.pmod(F.xxhash64("cid"), F.col("parts")).cast("string"), "UTF-8")))
+    members = scratch.table(members.select("cell", "cid", "label", "unit"), "cells")
+
+    def centre(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _unit(pdf["unit"])
+        c = x.mean(axis=0)
+        c = c / np.sqrt(c @ c) if c @ c > 0 else x[0]
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "label": pdf["label"].iloc[:1], "centre": [c.astype("<f8").tobytes()], "reach": [float(np.arccos(np.clip(x @ c, -1, 1)).max())]})
+
+    cells = scratch.table(members.groupBy("cell").applyInPandas(centre, "cell binary, label binary, centre binary, reach double"), "centres")
+    blocks = max(1, -(-cells.count() // CENTRES))
+    own = F.pmod(F.xxhash64("cell"), F.lit(blocks))
+    dealt = cells.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cell", "label", "centre", "reach")
+    slack = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def touching(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, same in pdf.groupby(pdf["centre"].str.len()):
+            p, q = same[same["own"] == same["i"].iloc[0]], same[same["own"] == same["j"].iloc[0]]
+            if len(p) and len(q):
+                angle = np.arccos(np.clip(_unit(p["centre"]) @ _unit(q["centre"]).T, -1, 1))
+                i, j = np.nonzero(angle <= p["reach"].to_numpy()[:, None] + q["reach"].to_numpy() + slack)
+                found = pd.DataFrame({"p": p["cell"].to_numpy()[i], "q": q["cell"].to_numpy()[j], "a": p["label"].to_numpy()[i], "b": q["label"].to_numpy()[j]})
+                found = found[found["a"] != found["b"]]
+                out.append(found[found["p"] < found["q"]] if same["i"].iloc[0] == same["j"].iloc[0] else found)
+        return pd.concat(out) if out else pd.DataFrame({"p": [], "q": [], "a": [], "b": []}, dtype=object)
+
+    pairs = scratch.table(dealt.groupBy("i", "j").applyInPandas(touching, "p binary, q binary, a binary, b binary"), "touching")
+    seats = pairs.select("p", "q", F.col("p").alias("cell")).union(pairs.select("p", "q", "q")).join(members, "cell")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["cell"] == pdf["p"]
+        p, q = pdf[first], pdf[~first]
+        near = len(p) and len(q) and (_unit(p["unit"]) @ _unit(q["unit"]).T >= threshold).any()
+        return pd.DataFrame({"a": [p["label"].iloc[0]] if near else [], "b": [q["label"].iloc[0]] if near else []}, dtype=object)
+
+    return seats.groupBy("p", "q").applyInPandas(link, "a binary, b binary")
+
+
+def _relabelled(labels: DataFrame, joins: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels after components are joined by joins (a, b) of labels."""
+    joins = scratch.table(joins.distinct(), "joins")
+    if joins.isEmpty():
+        return labels
+    new = components(joins, scratch, "joined").select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return scratch.table(labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def _in_blocks(members: DataFrame, threshold: float) -> DataFrame:
     """(cid, n): links of each class inside its component, from blocks of (label, cid, copies, unit, parts)."""
     part = F.pmod(F.xxhash64("cid"), F.col("parts"))
@@ -176,15 +258,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
         links = scratch.table(_links(graph, truth, threshold), "links")
         labels = scratch.table(components(links, scratch), "labels")
         full = graph.groupBy("cid").agg(F.min("sim").alias("floor"), F.count("*").alias("k")).where((F.col("k") >= K) & (F.col("floor") >= threshold)).select("cid")
-        if more == MORE or not real:
+        if not real:
             break
-        held = truth.join(full, "cid", "left_anti")  # of saturated lists, the rest is found in their component
+        held = truth.join(full, "cid", "left_anti")  # those of saturated lists are all compared below
         wanted, got = held.count(), held.join(graph, ["cid", "other"], "left_semi").count()
         if got >= RECALL * wanted:
             break
+        if more == MORE:
+            full = units.select("cid")
+            labels = full.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select(F.col("cid").alias("node"), F.coalesce("label", "cid").alias("label"))
+            labels = scratch.table(labels, "labels")
+            break
         graph = scratch.table(_top(graph.union(_leaves(units, n, TREES, more + 1, scratch)), K), "graph")
         graph = scratch.table(_top(graph.union(_descend(graph, units)), K), "graph")
 
+    full = scratch.table(full, "saturated")
+    saturated = lambda: labels.withColumnRenamed("node", "cid").join(full, "cid").join(units, "cid")
+    labels = _relabelled(labels, _joins_in_leaves(saturated(), full.count(), threshold, MORE + 1, scratch), scratch)
+    labels = _relabelled(labels, _joins_of_cells(saturated(), threshold, scratch), scratch)
+
     dense = labels.join(full.withColumnRenamed("cid", "node"), "node").select("label").distinct()
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).join(dense, "label")
     members = labels.join(sizes, "label").join(own.select(F.col("cid").alias("node"), "copies", "unit"), "node").withColumnRenamed("node", "cid")

@@ -205,6 +205,45 @@ def test_near_duplicates_of_large_nodes_against_brute_force(spark, monkeypatch):
     assert got == lowest and 1 < len(set(lowest.values())) < 160
 
 
+def _groups_of_groups(groups: int, size: int) -> list:
+    """Vectors of unit length: groups of that size, whose members are far nearer to each other than to other groups."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(groups + 1)[0] + 0.16 * np.eye(groups + 1)[1:]
+    return (np.repeat(centres, size, axis=0) + rng.normal(0, 0.002, (groups * size, groups + 1))).tolist()
+
+
+def test_embedding_links_between_tight_groups(spark, monkeypatch):
+    near = _groups_of_groups(12, 12)
+    far = np.random.default_rng(9).normal(size=(300, 13)).round(3).tolist()
+    x = np.array([*near, *far])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    sims = x @ x.T
+    assert sims[:144, :144].min() >= 0.97
+    linked = sims >= 0.95
+    reach = np.linalg.matrix_power(linked.astype(float), 64) > 0
+    want = {i: (int(linked[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(len(x))}
+    monkeypatch.setattr(embed_dedup, "AUDIT", 0)  # no audited class lies in the group
+    vectors = spark.createDataFrame(list(enumerate([*near, *far])), "vec_id long, embedding array<double>")
+    found = lambda: {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(vectors).collect()}
+    assert want[143] == (143, 0) and found() == want
+    monkeypatch.setattr(embed_dedup, "_joins_in_leaves", lambda *a: spark.createDataFrame([], "a binary, b binary"))
+    assert found() == want  # the exact step finds all by itself as well
+
+
+def test_embedding_recall_below_target_compares_all(spark, monkeypatch):
+    x = np.random.default_rng(10).normal(size=(60, 2))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    linked = x @ x.T >= 0.9999
+    reach = np.linalg.matrix_power(linked.astype(float), 64) > 0
+    want = {i: (int(linked[i].sum()) - 1, int(np.flatnonzero(reach[i])[0])) for i in range(60)}
+    empty = lambda *a: spark.createDataFrame([], embed_dedup.EDGE)
+    monkeypatch.setattr(embed_dedup, "_leaves", empty)
+    monkeypatch.setattr(embed_dedup, "AUDIT", 20)
+    vectors = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(vectors, 0.9999).collect()}
+    assert got == want and len({c for _, c in got.values()}) < 60
+
+
 def test_license_templates_and_edits(spark):
     rows = [(i, "zz " * 40 + t.upper() + " yy" * 9) for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(99, license_scan.TEMPLATES[9][1].replace("granted", "given"))]
     got = {(r["doc_id"], r["license_id"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
