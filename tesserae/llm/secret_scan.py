@@ -21,7 +21,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Contexts in which a value is weighed: a credential's name, then :, = or "is", then a value without spaces.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,256})""", re.A | re.I)
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,})""", re.A | re.I)
 #: The names and verbs by which a text can hold a match at all.
 _HINT = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|api_?key|[_-]key", re.A | re.I)
 KINDS = ("assign", "access", "hex", "guess")
@@ -39,18 +39,48 @@ def _alphabet(text: str) -> int:
     return sum(n for n, has in ((26, any("a" <= c <= "z" for c in text)), (26, any("A" <= c <= "Z" for c in text)), (10, any("0" <= c <= "9" for c in text)), (33, any(not c.isalnum() for c in text)), (100, any(c.isalnum() and not c.isascii() for c in text))) if has)
 
 
-def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
-    """The least guess cost of a value, as a base-10 logarithm, and the segments (kind, start, end) that give it."""
+def _move(low: str, b: int) -> tuple[int, int] | None:
+    """The step on the keyboard to the character at b from the one before it, if they are neighbours."""
+    if low[b] not in _AT or low[b - 1] not in _AT:
+        return None
+    (r, i), (s, j) = _AT[low[b - 1]], _AT[low[b]]
+    return (s - r, j - i) if abs(s - r) <= 1 and abs(j - i) <= 1 else None
+
+
+def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+    """The least guess cost of a value, as a base-10 logarithm, and the segments (kind, start, end) that give it. A cost
+    of limit or more counts as infinite, without segments: as no segment is free, a long value is then soon decided."""
     n, low = len(value), value.lower()
     plain, one = low.translate(_LEET), math.log10(max(_alphabet(value), 10))
     cost, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
+    far, ends = 0, [-1] * 5  # the furthest place with a cost; by period, where the last repeat ended
+    walks, turns, before = [], 0, None  # open walks (start, turns before it)
+
     def offer(kind: str, a: int, b: int, price: float) -> None:
-        if cost[a] + price < cost[b]:
-            cost[b], back[b] = cost[a] + price, (kind, a)
+        nonlocal far
+        if cost[a] + price < min(cost[b], limit):
+            cost[b], back[b], far = cost[a] + price, (kind, a), max(far, b)
 
     cut = math.log10(2)  # each further segment doubles the guesses
-    for a in range(n):
+    for a in range(n + 1):
+        if a > far + 2 and not walks:
+            break
+        if a > 1:
+            move = _move(low, a - 1)
+            turns, before = turns + (move != before), move
+            walks = [*walks, (a - 2, turns - 1)] if move and cost[a - 2] < limit else walks if move else []
+            least, still = limit, []
+            for start, at in walks:
+                price = math.log10(47 * (a - start)) + (turns - at) * math.log10(6) + cut
+                if a - start >= 4:
+                    offer("walk", start, a, price)
+                if cost[start] + price < least:  # else an earlier start is and stays as cheap
+                    least = cost[start] + price
+                    still.append((start, at))
+            walks = still
+        if a == n or cost[a] >= limit:
+            continue
         offer("brute", a, a + 1, one + (cut if a and back[a][0] != "brute" else 0))
         for b in range(a + 3, min(n, a + _LONGEST) + 1):
             rank = _RANK.get(plain[a:b])
@@ -61,21 +91,14 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             if m:
                 offer("date", a, m.end(), math.log10(366 * 130 if m.end() - a > 4 else 130) + cut)
         for period in (1, 2, 3, 4):
-            b = a + period
-            while b < n and low[b] == low[b - period]:
+            b = max(a + period, ends[period])
+            while a + period > ends[period] and b < n and low[b] == low[b - period]:
                 b += 1
+            ends[period] = b
             if b - a >= max(3, 2 * period):
                 offer("repeat", a, b, one * period + math.log10((b - a) / period) + cut)
-        b, turns, before = a + 1, 0, None
-        while b < n and low[b] in _AT and low[b - 1] in _AT:
-            (r, i), (s, j) = _AT[low[b - 1]], _AT[low[b]]
-            move = (s - r, j - i)
-            if abs(move[0]) > 1 or abs(move[1]) > 1:
-                break
-            turns += move != before
-            before, b = move, b + 1
-            if b - a >= 4:
-                offer("walk", a, b, math.log10(47 * (b - a)) + turns * math.log10(6) + cut)
+    if cost[n] >= limit:
+        return math.inf, []
     out, b = [], n
     while b:
         kind, a = back[b]
@@ -102,7 +125,7 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
                 continue
             if not re.search(r"[0-9]", value) and (not re.search(r"[^A-Za-z]", value.strip("-_.")) or value.isalpha()):
                 continue
-            if segments(value)[0] >= min_guesses:
+            if segments(value, min_guesses)[0] >= min_guesses:
                 out.append((a, b, 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 

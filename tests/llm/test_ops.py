@@ -130,6 +130,15 @@ def test_secret_spans():
     assert {s[0] for s in secret_scan.segments("qwertyuiop1999-01-31aaaaaa")[1]} >= {"walk", "date", "repeat"}
 
 
+def test_secret_of_any_length():
+    rng = np.random.default_rng(4)
+    jwt = "".join(rng.choice(list("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNP23456789-_."), 599)) + "Q"
+    text = "Authorization: Bearer " + jwt + " end"
+    assert secret_scan.spans(text, 10.0) == [(22, 622, "guess")]
+    assert secret_scan.spans("pwd: " + "g" * 60_000, 10.0) == []
+    assert secret_scan.spans("pwd: " + "g" * 60_000 + jwt, 10.0) == [(5, 60_605, "guess")]
+
+
 def test_secret_redaction(odd):
     got = {r["doc_id"]: r["redacted"] for r in secret_scan.scan(odd.where("doc_id = 10 or doc_id = 2"), redact="[S]").collect()}
     assert got[2] is None and got[10] == "[S]&3xyz [S] [S]"
