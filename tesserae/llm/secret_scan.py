@@ -24,6 +24,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,})""", re.A | re.I)
 #: The names and verbs by which a text can hold a match at all.
 _HINT = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|api_?key|[_-]key", re.A | re.I)
+_IS = re.compile(r"\x20is\x20", re.A | re.I)
 KINDS = ("assign", "access", "hex", "guess")
 #: Common words, from the most to the less common.
 WORDS = ["the", "of", "and", "to", "in", "password", "pass", "admin", "secret", "token", "key", "user", "login", "welcome", "test", "default", "root", "changeme", "letmein", "monkey", "dragon", "love", "god", "king", "money", "summer", "winter", "spring", "autumn", "hello", "world", "your", "none", "null", "true", "false", "value", "example", "sample", "dummy", "here", "string", "access", "master", "server", "client", "public", "private", "service", "account", "name", "home", "house", "star", "sun", "moon", "red", "blue", "green", "black", "white", "correct", "horse", "battery", "staple", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
@@ -113,7 +114,7 @@ def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str
 def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
     """All spans of a text as (start, end, kind), by start, then kind. A base span covers its whole match. A value in a
     credential context that needs at least 10**min_guesses guesses adds a span of kind guess, unless a base span
-    overlaps it; values in plain lower-case letters without a digit count as prose."""
+    overlaps it; values of letters without a capital after "is" count as prose."""
     out = [(m.start(), m.end(), k) for k, p in ((1, ACCESS), (2, HEX)) for m in p.finditer(text)]
     if _HINT.search(text):
         out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -123,7 +124,8 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
             a, b = m.start(1), m.start(1) + len(value)
             if len(value) < 6 or any(x < b and a < y for x, y, _ in base):
                 continue
-            if not re.search(r"[0-9]", value) and (not re.search(r"[^A-Za-z]", value.strip("-_.")) or value.isalpha()):
+            letters = value.strip("-_.")
+            if letters.isalpha() and letters == letters.lower() and _IS.search(text, m.start(), a):
                 continue
             if segments(value, min_guesses)[0] >= min_guesses:
                 out.append((a, b, 3))

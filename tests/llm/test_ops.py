@@ -139,6 +139,12 @@ def test_secret_of_any_length():
     assert secret_scan.spans("pwd: " + "g" * 60_000 + jwt, 10.0) == [(5, 60_605, "guess")]
 
 
+def test_secrets_of_letters():
+    for text in ("pwd: kXvQzRtPwLmNbHsYcD", "passphrase = QmZrTxKvBnWpLs", "the password is kXvQzRtPwLmNbHs", "pwd: kxvqzrtpwlmnbhs"):
+        assert secret_scan.spans(text, 10.0) == [(text.rindex(" ") + 1, len(text), "guess")]
+    assert secret_scan.spans("the password is required, passphrase: correcthorse", 10.0) == []
+
+
 def test_secret_redaction(odd):
     got = {r["doc_id"]: r["redacted"] for r in secret_scan.scan(odd.where("doc_id = 10 or doc_id = 2"), redact="[S]").collect()}
     assert got[2] is None and got[10] == "[S]&3xyz [S] [S]"
