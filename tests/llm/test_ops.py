@@ -145,6 +145,11 @@ def test_secrets_of_letters():
     assert secret_scan.spans("the password is required, passphrase: correcthorse", 10.0) == []
 
 
+def test_secret_hint_is_no_filter():
+    for name in ("accessKey", "privatekey", "access-key", "private_key", "api-key", "apikey", "secretkey", "authkey", "pwd", "passcode", "bearer", "credentials"):
+        assert [k for _, _, k in secret_scan.spans(name + " = Zx9#qL2!vBw81", 10.0)] == ["guess"]
+
+
 def test_secret_redaction(odd):
     got = {r["doc_id"]: r["redacted"] for r in secret_scan.scan(odd.where("doc_id = 10 or doc_id = 2"), redact="[S]").collect()}
     assert got[2] is None and got[10] == "[S]&3xyz [S] [S]"
