@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by REDACTED; n_chars is that of the new text. No document goes."""
-    found = _documents(docs).withColumn("_r", secret_scan.found(redact=REDACTED))
+    found = _documents(docs).withColumn("_r", secret_scan.found(redact=REDACTED, whole=True))
     return found.select("doc_id", F.col("_r.redacted").alias("text"), "lang", "source", F.length("_r.redacted").cast("long").alias("n_chars"))
 
 

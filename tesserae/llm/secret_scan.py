@@ -114,7 +114,7 @@ def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str
 def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
     """All spans of a text as (start, end, kind), by start, then kind. A base span covers its whole match. A value in a
     credential context that needs at least 10**min_guesses guesses adds a span of kind guess, unless a base span
-    overlaps it; values of letters without a capital after "is" count as prose."""
+    covers it; values of letters without a capital after "is" count as prose."""
     out = [(m.start(), m.end(), k) for k, p in ((1, ACCESS), (2, HEX)) for m in p.finditer(text)]
     if _HINT.search(text):
         out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -122,7 +122,7 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) < 6 or any(x < b and a < y for x, y, _ in base):
+            if len(value) < 6 or any(x <= a and b <= y for x, y, _ in base):
                 continue
             letters = value.strip("-_.")
             if letters.isalpha() and letters == letters.lower() and _IS.search(text, m.start(), a):
@@ -135,16 +135,17 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
 FOUND = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
 
 
-def found(min_guesses: float = 10.0, redact: str | None = None) -> Column:
+def found(min_guesses: float = 10.0, redact: str | None = None, whole: bool = False) -> Column:
     """What is found in column text: counts by kind, the digest of the base spans and all spans. With redact, field
-    redacted has the text with each span replaced by it, else null. A null text counts as empty; redacted stays null."""
+    redacted has the text with each span replaced by it, else null. Spans that overlap are replaced as one if whole is
+    set; else a guess that overlaps a base span is not replaced, and the part of its value past that span stays. A null text counts as empty; redacted stays null."""
 
     def one(text: str | None) -> tuple:
         got = spans(text, min_guesses) if text else []
         counts = [sum(x[2] == k for x in got) for k in KINDS]
         joined = [f"{k}:{a}:{b}" for a, b, k in got]
         base = ",".join(s for s, x in zip(joined, got, strict=True) if x[2] != "guess")
-        return (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(joined), _redact(text, got, redact) if text is not None and redact is not None else None)
+        return (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(joined), _redact(text, got if whole else _apart(got), redact) if text is not None and redact is not None else None)
 
     def make():
         columns = [f.split()[0] for f in FOUND.split(", ")]
@@ -159,6 +160,11 @@ def scan(docs: DataFrame, min_guesses: float = 10.0, redact: str | None = None)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(min_guesses, redact).alias("r")).select("doc_id", "r.*")
 
 
+def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    base = [(x, y) for x, y, k in found if k != "guess"]
+    return [(a, b, k) for a, b, k in found if k != "guess" or not any(x < b and a < y for x, y in base)]
+
+
 def _redact(text: str, found: list[tuple[int, int, str]], by: str) -> str:
     out, at = [], 0
     for a, b, _ in found:

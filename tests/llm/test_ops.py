@@ -150,6 +150,15 @@ def test_secret_hint_is_no_filter():
         assert [k for _, _, k in secret_scan.spans(name + " = Zx9#qL2!vBw81", 10.0)] == ["guess"]
 
 
+def test_secret_values_past_base_spans(spark):
+    import corpus_pipeline
+
+    text = "x password=Tr0ub4dor&3xyz$Q9 y token=abcdefgh z"
+    assert secret_scan.spans(text, 10.0) == [(2, 20, "assign"), (11, 28, "guess"), (31, 45, "assign")]
+    out = corpus_pipeline.secret_scans(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), SF).first()
+    assert out["text"] == "x [SECRET] y [SECRET] z" and out["n_chars"] == len(out["text"])
+
+
 def test_secret_redaction(odd):
     got = {r["doc_id"]: r["redacted"] for r in secret_scan.scan(odd.where("doc_id = 10 or doc_id = 2"), redact="[S]").collect()}
     assert got[2] is None and got[10] == "[S]&3xyz [S] [S]"
