@@ -1,8 +1,8 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 A document's set is its distinct two-word shingles. Equal sets are one class; the join works on classes. In each of
-TREES independent trees a class goes down a path: at a node, the path so far chooses a coordinate, and the class's
-minwise token there chooses the child. Nodes of at most LIMIT classes are compared exhaustively; larger ones branch
+TREES independent trees a class goes down a path: at each level, a tree has a coordinate of its own, which no other tree
+and no other level uses, and the class's minwise token there chooses the child. Nodes of at most LIMIT classes are compared exhaustively; larger ones branch
 again, LEVELS deep. Comparisons pass a size filter and a filter on 2-bit minwise sketches, and are then confirmed on
 the full sets.
 
@@ -108,10 +108,12 @@ def _alike(a: str, b: str) -> Column:
 def tree_nodes(classes: DataFrame, scratch: Scratch, trees: int = TREES, levels: int = LEVELS, limit: int = LIMIT) -> DataFrame:
     """(tree, node, sid, n, s1, s2, large): the nodes of two classes and more at which the trees end."""
     share = COORDINATES // levels
+    if trees > share:
+        raise ValueError("more trees than coordinates in a level: trees would not be independent")
     rows = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     path = F.xxhash64("tree")
     for level in range(levels):
-        rows = rows.withColumn(f"p{level}", F.xxhash64(path, F.get("tokens", (F.pmod(path, F.lit(share)) + level * share).cast("int"))))
+        rows = rows.withColumn(f"p{level}", F.xxhash64(path, F.get("tokens", F.col("tree") + level * share)))
         path = F.col(f"p{level}")
     rows = rows.select("tree", "sid", "n", "s1", "s2", *[f"p{level}" for level in range(levels)])
     ended = []
