@@ -21,7 +21,7 @@ WINDOW = 8
 #: Bands: up to so many bytes, the ratio of a whole document must lie between low and high. Short texts carry the
 #: frame's own bytes and have had little to refer back to, so they compress less.
 BANDS = ((200, 0.30, 1.20), (1_000, 0.26, 0.98), (4_000, 0.28, 0.85), (16_000, 0.26, 0.80), (float("inf"), 0.22, 0.75))
-#: Chunks of so many bytes; at most this share of a document's chunks may lie outside the chunk band.
+#: Chunks of so many bytes, the last one ending at the end of the text; at most this share of a document's chunks may lie outside the chunk band.
 CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.15, 0.85, 0.5
 LEVEL = 3
 
@@ -71,6 +71,8 @@ def measure(text: str | None, compressor) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     ratio = len(compressor.compress(raw)) / len(raw) if raw else None
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw) - CHUNK + 1, CHUNK)] if len(raw) > CHUNK else []
+    if chunks and len(raw) % CHUNK:
+        chunks.append(raw[-CHUNK:])
     bad = sum(not CHUNK_LOW <= len(compressor.compress(c)) / len(c) <= CHUNK_HIGH for c in chunks)
     within = ratio is not None and next(low <= ratio <= high for most, low, high in BANDS if len(raw) <= most)
     kept = not failed and within and bad <= CHUNK_SHARE * len(chunks)

@@ -173,6 +173,17 @@ def test_repeated_words_against_brute_force():
         assert quality.repeated_words(words) == len(hit)
 
 
+def test_quality_of_the_last_bytes():
+    import zstandard
+
+    rng = np.random.default_rng(7)
+    prose = lambda n: (" ".join(f"{w}{k % 9}" for k, w in enumerate(rng.choice([f"word{i}" for i in range(600)], n))) + " ").ljust(n)[:n]
+    noise = lambda n: "".join(rng.choice([chr(c) for c in range(1, 128) if not 9 <= c <= 13 and c != 32], n))
+    fields = dict(zip((f.split()[0] for f in quality.MEASURES.split(", ")), quality.measure(prose(4096) + noise(4096) + noise(4000), zstandard.ZstdCompressor(level=quality.LEVEL)), strict=True))
+    assert (fields["n_chunks"], fields["n_bad_chunks"], fields["kept"]) == (3, 2, False)
+    assert quality.measure(prose(4096), zstandard.ZstdCompressor(level=quality.LEVEL))[-2:] == (0, 0)
+
+
 def test_quality_counts(docs):
     for r in quality.rules(docs).collect():
         t = texts(docs)[r["doc_id"]] if r["doc_id"] < 3 else None
