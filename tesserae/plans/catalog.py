@@ -249,7 +249,7 @@ register("ag34_regression_forecast", lambda s, d: _round(sketch.regroup(leaves(s
 # --- synthesis and learning
 
 register("ml1_ml2_ml3_synthesis", lambda s, d: approx.synthesize(leaves(s, d), 0.5).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most")))
-register("ml4_ml5_forest", lambda s, d: approx.forest(observations(s, d).where("obs_id % 20 <> 0"), observations(s, d).where("obs_id % 20 = 0"), "value", ["k", "err"], trees=4, depth=4))
+register("ml4_ml5_forest", lambda s, d: approx.forest(observations(s, d).where("obs_id % 20 <> 0"), observations(s, d).where("obs_id % 20 = 0"), "value", ["k", "err"]))
 
 # --- joins, windows, order
 

@@ -45,3 +45,14 @@ def test_hll_is_near_the_exact_count(spark):
         assert abs(r["estimate"] - distinct[r["event_type"]]) <= 0.05 * distinct[r["event_type"]]
     known = approx.bloom(obs, "user_id", 1000)
     assert all(known.mightContain(r["user_id"]) for r in obs.select("user_id").distinct().collect())
+
+
+def test_forest_has_the_surveyed_size(spark, monkeypatch):
+    import inspect
+
+    from tesserae.operators import approx
+
+    given, of = {}, inspect.signature(approx.forest)
+    monkeypatch.setattr(approx, "forest", lambda *a, **k: given.update((x := of.bind(*a, **k)).apply_defaults() or x.arguments))
+    catalog.QUERIES["ml4_ml5_forest"](spark, SF)
+    assert (given["trees"], given["depth"], given["bins"]) == (32, 20, 32)
