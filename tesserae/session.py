@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode). A local
+    path is refused on a cluster, as other machines would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+    own = os.environ.get("TESSERAE_LOCAL_SHARED")
+    if not own:
+        own = os.environ["TESSERAE_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="tesserae-")
+    return f"file://{own}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once for an application, unless their Python path has it anyway."""
     app = spark.sparkContext.applicationId
