@@ -2,7 +2,9 @@
 
 The guess cost of a value is the least sum, over all ways to cut it into segments, of the base-10 logarithms of
 the guesses each segment needs: a dictionary word, a date, a repeat, a keyboard walk or brute force over the
-character classes used. It is found by dynamic programming over the positions of the value.
+character classes used. It is found by dynamic programming over the positions of the value. The dictionary is
+ranked: passwords in common use come first, then the words among the pieces of a public vocabulary file, which lists
+them from the most to the less frequent.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import per_text
+from tesserae.llm.common import per_text, tokenizer_path
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -24,18 +26,34 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,})""", re.A | re.I)
 #: The names and verbs by which a text can hold a match at all.
 _HINT = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|(?:api|access|private)[_-]?key", re.A | re.I)
-_IS = re.compile(r"\x20is\x20", re.A | re.I)
 KINDS = ("assign", "access", "hex", "guess")
-#: Common words, from the most to the less common.
-WORDS = ["the", "of", "and", "to", "in", "password", "pass", "admin", "secret", "token", "key", "user", "login", "welcome", "test", "default", "root", "changeme", "letmein", "monkey", "dragon", "love", "god", "king", "money", "summer", "winter", "spring", "autumn", "hello", "world", "your", "none", "null", "true", "false", "value", "example", "sample", "dummy", "here", "string", "access", "master", "server", "client", "public", "private", "service", "account", "name", "home", "house", "star", "sun", "moon", "red", "blue", "green", "black", "white", "correct", "horse", "battery", "staple", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-_RANK = {w: i for i, w in enumerate(WORDS, 1)}
-_LONGEST = max(map(len, WORDS))
+#: Passwords in common use and words by which they are named, from the most to the less common. Fixed values.
+WORDS = ["password", "qwerty", "iloveyou", "admin", "letmein", "welcome", "monkey", "dragon", "sunshine", "princess", "football", "baseball", "shadow", "master", "superman", "batman", "trustno", "changeme", "secret", "default", "root", "login", "user", "test", "pass", "token", "hello", "summer", "winter", "spring", "autumn", "flower", "hunter", "killer", "jordan", "michael", "jennifer", "charlie", "access", "starwars", "whatever", "freedom", "example", "sample", "dummy", "guest", "server", "correct", "horse", "battery", "staple"]
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 _LEET = str.maketrans("@430157$!", "aaeoistsi")
 _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+_ranked: dict[str, tuple[dict[str, int], int]] = {}
+
+
+def ranks(path: str | None = None) -> tuple[dict[str, int], int]:
+    """Rank of each dictionary word, from 1, and the length of the longest. path: a sentencepiece model, whose pieces of
+    three and more letters a to z follow WORDS in their order; without one, WORDS are all."""
+    key = path or ""
+    if key not in _ranked:
+        words = dict.fromkeys(WORDS)
+        if path:
+            import sentencepiece
+
+            own = sentencepiece.SentencePieceProcessor(model_file=path)
+            pieces = (own.id_to_piece(i).lstrip("\u2581").lower() for i in range(own.get_piece_size()))
+            words |= dict.fromkeys(p for p in pieces if len(p) > 2 and p.isascii() and p.isalpha())
+        _ranked[key] = {w: i for i, w in enumerate(words, 1)}, max(map(len, words))
+    return _ranked[key]
+
+
 def _alphabet(text: str) -> int:
     return sum(n for n, has in ((26, any("a" <= c <= "z" for c in text)), (26, any("A" <= c <= "Z" for c in text)), (10, any("0" <= c <= "9" for c in text)), (33, any(not c.isalnum() for c in text)), (100, any(c.isalnum() and not c.isascii() for c in text))) if has)
 
@@ -48,10 +66,21 @@ def _move(low: str, b: int) -> tuple[int, int] | None:
     return (s - r, j - i) if abs(s - r) <= 1 and abs(j - i) <= 1 else None
 
 
-def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str, int, int]]]:
+def _variants(word: str, plain: str) -> int:
+    """Binary choices that spelling a dictionary word so takes: one for a first or all capitals, else one for each
+    letter, and one for each letter replaced by a look-alike."""
+    low = word.lower()
+    capitals = 0 if word == low else 1 if word[1:] == low[1:] or word == word.upper() else sum(map(str.isalpha, word))
+    return capitals + sum(x != y for x, y in zip(low, plain, strict=True))
+
+
+def segments(value: str, limit: float = math.inf, dictionary: tuple[dict[str, int], int] | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """The least guess cost of a value, as a base-10 logarithm, and the segments (kind, start, end) that give it. A cost
     of limit or more counts as infinite, without segments: as no segment is free, a long value is then soon decided."""
+    rank_of, longest = dictionary or ranks()
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters grow in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain, one = low.translate(_LEET), math.log10(max(_alphabet(value), 10))
     cost, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
@@ -83,11 +112,10 @@ def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str
         if a == n or cost[a] >= limit:
             continue
         offer("brute", a, a + 1, one + (cut if a and back[a][0] != "brute" else 0))
-        for b in range(a + 3, min(n, a + _LONGEST) + 1):
-            rank = _RANK.get(plain[a:b])
+        for b in range(a + 3, min(n, a + longest) + 1):
+            rank = rank_of.get(plain[a:b])
             if rank:
-                odd = (low[a:b] != plain[a:b]) + (value[a:b] != low[a:b])
-                offer("word", a, b, math.log10(rank + 1) + cut * (odd + 1))
+                offer("word", a, b, math.log10(rank + 1) + cut * (_variants(value[a:b], plain[a:b]) + 1))
         for m in (_DATE.match(value, a, a + 4), _DATE.match(value, a)):
             if m:
                 offer("date", a, m.end(), math.log10(366 * 130 if m.end() - a > 4 else 130) + cut)
@@ -111,10 +139,11 @@ def segments(value: str, limit: float = math.inf) -> tuple[float, list[tuple[str
     return cost[n], out[::-1]
 
 
-def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
+def spans(text: str, min_guesses: float, dictionary: tuple[dict[str, int], int] | None = None) -> list[tuple[int, int, str]]:
     """All spans of a text as (start, end, kind), by start, then kind. A base span covers its whole match. A value in a
     credential context that needs at least 10**min_guesses guesses adds a span of kind guess, unless a base span
-    covers it; values of letters without a capital after "is" count as prose."""
+    covers it; it may overlap base spans. Values may be of any length; those of fewer than six characters are not
+    weighed."""
     out = [(m.start(), m.end(), k) for k, p in ((1, ACCESS), (2, HEX)) for m in p.finditer(text)]
     if _HINT.search(text):
         out += [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -124,10 +153,7 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
             a, b = m.start(1), m.start(1) + len(value)
             if len(value) < 6 or any(x <= a and b <= y for x, y, _ in base):
                 continue
-            letters = value.strip("-_.")
-            if letters.isalpha() and letters == letters.lower() and _IS.search(text, m.start(), a):
-                continue
-            if segments(value, min_guesses)[0] >= min_guesses:
+            if segments(value, min_guesses, dictionary)[0] >= min_guesses:
                 out.append((a, b, 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
 
@@ -135,34 +161,31 @@ def spans(text: str, min_guesses: float) -> list[tuple[int, int, str]]:
 FOUND = "n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string, redacted string"
 
 
-def found(min_guesses: float = 10.0, redact: str | None = None, whole: bool = False) -> Column:
+def found(min_guesses: float = 10.0, redact: str | None = None, vocabulary: str | None = None) -> Column:
     """What is found in column text: counts by kind, the digest of the base spans and all spans. With redact, field
-    redacted has the text with each span replaced by it, else null. Spans that overlap are replaced as one if whole is
-    set; else a guess that overlaps a base span is not replaced, and the part of its value past that span stays. A null text counts as empty; redacted stays null."""
+    redacted has the text with each span replaced by it, spans that overlap as one; else it is null. A null text counts
+    as empty; redacted stays null. vocabulary: the file that ranks the dictionary (see ranks), a public one by default."""
+    path = vocabulary or tokenizer_path("piece_bpe_32k.model")
 
-    def one(text: str | None) -> tuple:
-        got = spans(text, min_guesses) if text else []
+    def one(text: str | None, dictionary: tuple[dict[str, int], int]) -> tuple:
+        got = spans(text, min_guesses, dictionary) if text else []
         counts = [sum(x[2] == k for x in got) for k in KINDS]
         joined = [f"{k}:{a}:{b}" for a, b, k in got]
         base = ",".join(s for s, x in zip(joined, got, strict=True) if x[2] != "guess")
-        return (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(joined), _redact(text, got if whole else _apart(got), redact) if text is not None and redact is not None else None)
+        return (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(joined), _redact(text, got, redact) if text is not None and redact is not None else None)
 
     def make():
-        columns = [f.split()[0] for f in FOUND.split(", ")]
-        return lambda texts: pd.DataFrame([one(t) for t in texts], columns=columns)
+        columns, dictionary = [f.split()[0] for f in FOUND.split(", ")], ranks(path)
+        return lambda texts: pd.DataFrame([one(t, dictionary) for t in texts], columns=columns)
 
     return per_text(FOUND, make)
 
 
-def scan(docs: DataFrame, min_guesses: float = 10.0, redact: str | None = None) -> DataFrame:
-    """One row per row of docs (doc_id, text), with the fields of found(). Repeated rows give repeated rows, an empty
-    table an empty one; other columns are left out. There is no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(min_guesses, redact).alias("r")).select("doc_id", "r.*")
-
-
-def _apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    base = [(x, y) for x, y, k in found if k != "guess"]
-    return [(a, b, k) for a, b, k in found if k != "guess" or not any(x < b and a < y for x, y in base)]
+def scan(docs: DataFrame, min_guesses: float = 10.0, redact: str | None = None, vocabulary: str | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text), with the fields of found(). A null or empty text has no spans; very long
+    texts and values are scanned whole. Repeated rows give repeated rows, an empty table an empty one; other columns
+    are left out. There is no shuffle."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found(min_guesses, redact, vocabulary).alias("r")).select("doc_id", "r.*")
 
 
 def _redact(text: str, found: list[tuple[int, int, str]], by: str) -> str:
