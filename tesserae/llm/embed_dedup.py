@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import Scratch
@@ -40,12 +40,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(v, dtype="<f8") for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
+def plain(embedding: Column) -> Column:
+    """The vector as doubles, with 0.0 for -0.0, so that equal vectors have equal texts."""
+    return F.transform(embedding, lambda x: x.cast("double") + F.lit(0.0))
+
+
+def class_id(embedding: Column) -> Column:
+    """128 bits of a plain() vector's text; null if a component is."""
+    gaps = F.exists(embedding, lambda x: x.isNull())
+    return F.when(~gaps, F.unhex(F.md5(F.array_join(embedding, ","))))
+
+
 def classes(vectors: DataFrame) -> DataFrame:
-    """(embedding, cid, first, copies, unit) for each distinct usable vector: unit is the vector divided by its norm,
-    as doubles. Null, empty and zero vectors and those with null or non-finite components are left out."""
+    """(cid, first, copies, unit) for each distinct usable vector (vec_id, embedding, a plain one): unit is the vector
+    divided by its norm, as doubles. Null, empty and zero vectors and those with null or non-finite components are left out."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    out = vectors.where(usable).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    out = out.withColumn("cid", F.unhex(F.md5(F.array_join("embedding", ","))))
+    own = vectors.where(usable).withColumn("cid", class_id(F.col("embedding")))
+    out = own.groupBy("cid").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding"))
 
     def unit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -241,9 +252,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     Vectors of different lengths link with nothing of another length. Null, empty and zero vectors and those with null
     or non-finite components link with nothing: n_links 0, component_id their vec_id. Repeated rows are vectors of
     their own: they link with each other, and are kept or dropped alike. A null vec_id never names a component, unless
-    all members have none; then they are kept. An empty table gives an empty one; other columns are left out.
+    all members have none; then they are kept. Equal similarities are ordered by the vectors' ids; that decides only
+    which candidates are tried first. Vectors may be of any length. An empty table gives an empty one; other columns are
+    left out.
     """
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), plain(F.col("embedding")).alias("embedding"))
     scratch = Scratch(vectors.sparkSession, "embed-dedup")
     own = scratch.table(classes(vectors), "classes")
     n = own.count()
@@ -288,9 +301,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     least = of_class.groupBy("label").agg(F.min("first").alias("component_id"))
     of_class = of_class.join(least, "label").join(in_lists, "cid", "left").join(in_dense, "cid", "left")
     of_class = scratch.table(of_class.select("cid", "component_id", (F.coalesce("n", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "result")
-    rows = vectors.select("vec_id", F.unhex(F.md5(F.array_join("embedding", ","))).alias("cid"), F.exists("embedding", lambda x: x.isNull()).alias("gaps"))
-    rows = rows.withColumn("cid", F.when(F.col("gaps"), None).otherwise(F.col("cid")))
-    out = rows.join(of_class, "cid", "left")
+    out = vectors.select("vec_id", class_id(F.col("embedding")).alias("cid")).join(of_class, "cid", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
