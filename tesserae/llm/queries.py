@@ -30,7 +30,9 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.roundtrip(read(spark, sf_dir, "pages")).where(F.col("gap_start").isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """A gap in archives just written would be lost pages: it fails the query."""
+    lost = F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "archive", "gap_start", "gap_end", "gap_reason")).cast("boolean")
+    return warc.roundtrip(read(spark, sf_dir, "pages")).where(F.col("gap_start").isNull() | lost).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
 An archive is a series of gzip members, a record in each. The reader checks each member (its checksum, its record
-header, the lengths and the payload digest); after a failed check it looks for the next member that inflates to a
-record, or, in an uncompressed archive, for the next version line, and logs the gap it had to pass over.
+header, the lengths, the fields and the payload digest); after a failed check it looks for the next member that inflates
+to a record, or, in an uncompressed archive, for the next version line, and logs the gap it had to pass over. Where
+the end of a damaged record is certain, because its member inflates or its length leads to a version line or to the end
+of the archive, all of it is quarantined: what its payload quotes is never read as a record.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ REVISIT_FROM = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Members are inflated by so many bytes at a time.
 STEP = 1 << 16
+NUMBER = re.compile("[0-9]{1,18}")
+SHA1 = re.compile("sha1:[A-Z2-7]{32}")
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -39,6 +43,14 @@ class Record:
     payload: bytes
 
 
+class Damaged(ValueError):
+    """A check failed; where the record ends is certain."""
+
+    def __init__(self, reason: str, end: int):
+        super().__init__(reason)
+        self.end = end
+
+
 @dataclass
 class Gap:
     start: int
@@ -68,7 +80,7 @@ def record_bytes(page_id: int, url: str, payload: bytes, sha1_hex: str, refers_t
 
 
 def parse(raw: bytes, at: int = 0, whole: bool = False) -> tuple[Record, int]:
-    """The record at a place, and where it ends. ValueError if a check fails."""
+    """The record at a place, and where it ends. ValueError if a check fails, Damaged if the record's end is certain."""
     m = VERSION.match(raw, at)
     end = raw.find(b"\r\n\r\n", at)
     if not m or end < 0:
@@ -80,35 +92,73 @@ def parse(raw: bytes, at: int = 0, whole: bool = False) -> tuple[Record, int]:
             raise ValueError("a header line has no colon")
         headers[k.strip()] = v.strip()
     length = headers.get("Content-Length", "")
-    if not length.isdigit():
+    if not NUMBER.fullmatch(length):
         raise ValueError("no content length")
     block = raw[end + 4 : end + 4 + int(length)]
     stop = end + 4 + int(length)
     if len(block) < int(length) or raw[stop : stop + 4] != b"\r\n\r\n":
         raise ValueError("the block is cut short")
-    if whole and stop + 4 != len(raw):
+    stop += 4
+    if whole and stop != len(raw):
         raise ValueError("bytes after the record")
     cut = block.find(b"\r\n\r\n")
-    payload = block[cut + 4 :] if cut >= 0 else block
-    want = headers.get("WARC-Payload-Digest", "")
-    if headers.get("WARC-Type") == "response" and want.startswith("sha1:") and want != sha1_label(hashlib.sha1(payload).hexdigest()):
+    record = Record(headers, block[cut + 4 :] if cut >= 0 else block)
+    try:
+        _check(record)
+    except ValueError as e:
+        if stop == len(raw) or VERSION.match(raw, stop):
+            raise Damaged(str(e), stop) from None
+        raise
+    return record, stop
+
+
+def _check(record: Record) -> None:
+    """ValueError if a response's payload has another digest, or fields of a revisit cannot be read."""
+    kind, want = record.headers.get("WARC-Type"), record.headers.get("WARC-Payload-Digest", "")
+    if kind == "response" and want.startswith("sha1:") and want != sha1_label(hashlib.sha1(record.payload).hexdigest()):
         raise ValueError("the payload digest differs")
-    return Record(headers, payload), stop + 4
+    if kind == "revisit":
+        if not SHA1.fullmatch(want):
+            raise ValueError("a revisit without a digest of its payload")
+        if not NUMBER.fullmatch(record.headers.get("X-Payload-Length", "0")):
+            raise ValueError("a payload length is no number")
+
+
+def _deflated(view: memoryview, at: int) -> int | None:
+    """Where a member of which only the checksum or the length is wrong ends, if another member or nothing follows."""
+    if bytes(view[at : at + 4]) != MAGIC + b"\0":
+        return None
+    inflate, at = zlib.decompressobj(-15), at + 10
+    try:
+        while at < len(view) and not inflate.eof:
+            piece = view[at : at + STEP]
+            inflate.decompress(piece)
+            at += len(piece)
+    except zlib.error:
+        return None
+    end = at - len(inflate.unused_data) + 8
+    return end if inflate.eof and (end == len(view) or bytes(view[end : end + 3]) == MAGIC) else None
 
 
 def _member(data: bytes, at: int) -> tuple[Record, int]:
-    """The record in the gzip member at a place, and where the member ends. ValueError if a check fails."""
-    inflate, out, view = zlib.decompressobj(31), [], memoryview(data)
+    """The record in the gzip member at a place, and where the member ends. ValueError if a check fails, Damaged if the
+    member inflates."""
+    inflate, out, view, start = zlib.decompressobj(31), [], memoryview(data), at
     try:
         while at < len(data) and not inflate.eof:
             piece = view[at : at + STEP]
             out.append(inflate.decompress(piece))
             at += len(piece)
     except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
+        end = _deflated(view, start)
+        raise Damaged(f"member: {e}", end) if end else ValueError(f"member: {e}") from None
     if not inflate.eof:
         raise ValueError("the member is cut short")
-    return parse(b"".join(out), whole=True)[0], at - len(inflate.unused_data)
+    end = at - len(inflate.unused_data)
+    try:
+        return parse(b"".join(out), whole=True)[0], end
+    except ValueError as e:
+        raise Damaged(str(e), end) from None
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -121,6 +171,9 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except ValueError as e:
             if lost is None:
                 lost, why = at, str(e)
+            if isinstance(e, Damaged):
+                at = e.end
+                continue
             if packed:
                 at = data.find(MAGIC, at + 1)
             else:
@@ -222,14 +275,14 @@ def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
 
 
 def _page(urn: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
+    m = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
     return int(m[1]) if m else None
 
 
 def fields(record: Record) -> tuple:
-    """page_id, payload bytes, digest, type, refers_to, url; a response's are computed from its payload."""
+    """page_id, payload bytes, digest, type, refers_to, url; all but a revisit's are computed from the payload."""
     h, kind = record.headers, record.headers.get("WARC-Type")
-    if kind == "response":
+    if kind != "revisit":
         n, digest = len(record.payload), hashlib.sha1(record.payload).hexdigest()
     else:
         n, digest = int(h.get("X-Payload-Length", 0)), base64.b32decode(h.get("WARC-Payload-Digest", "")[5:]).hex()
@@ -241,7 +294,9 @@ def roundtrip(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload, a null url an empty one. A null page_id gives a record without a number: it is
     always a response. Of repeated rows with equal page_id and payload all are responses if their page_id is the
-    largest of the equal payloads. An empty table gives an empty one; other columns are left out.
+    largest of the equal payloads. Very long payloads are records like any other; an archive holds one of them at most
+    past its size. An empty table gives an empty one; other columns are left out. Gaps, which archives just written
+    do not have, are rows with gap_start, gap_end and gap_reason.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
