@@ -8,10 +8,9 @@ table row per pair.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ SAMPLE_TEXTS, SAMPLE_WINDOWS = 3_000, 2
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
 #: Windows a batch of texts is worked through by.
 ROWS = 2_048
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 PREDICTED = "lang_pred string, score double"
@@ -104,7 +103,8 @@ class ByteCNN:
                     q -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """Label and score of each text: the mean of the softmax over all its windows."""
+        """Label and score of each text: the mean of the softmax over all its windows. Of equal scores the first label in
+        alphabetical order counts."""
         cut = [windows(t.encode("utf-8", "surrogatepass")) for t in texts]
         owner = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
         total, tables = np.zeros((len(cut), len(self.labels))), self.tables()
@@ -120,7 +120,9 @@ class ByteCNN:
 def fit(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteCNN | None:
     """Trains on about `texts` labelled rows whose crc32(doc_id) mod 4 is not 2, and on at most twice as many: those
     whose hash lies under a threshold set by their count. Only their windows leave the executors. None if there are no
-    labels."""
+    labels, or no column of them."""
+    if "lang" not in docs.columns:
+        return None
     learn = docs.where("lang is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 4 <> 2").select("doc_id", "lang", "text")
     share = min(1.0, texts / max(1, learn.count()))
     learn = learn.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < int(share * (1 << 30))).where("text is not null and text <> ''")
@@ -174,8 +176,9 @@ def predict(docs: DataFrame, model: ByteCNN | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text; lang for training, if no model is given): doc_id, held_out, lang_pred, score.
 
     A null text, one without a letter, or any text when there is nothing to learn from is `und` with score 0. A null
-    doc_id is not held out. Repeated rows give repeated rows, an empty table an empty one; other columns are left
-    out. Predictions take only the text.
+    doc_id is not held out. Very long texts are read whole, window by window; of equal scores the first label in
+    alphabetical order counts. Repeated rows give repeated rows, an empty table an empty one; other columns are left
+    out. Predictions take only the text. Without a model and without lang there is nothing to learn from.
     """
     held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), predicted(docs, model).alias("r")).select("doc_id", "held_out", "r.*")
