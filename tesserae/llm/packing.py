@@ -24,8 +24,8 @@ from tesserae.llm.trie_bpe import byte_symbols
 PIECES = "piece: int, start: long, length: long, ids_crc32: long"
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ranks are counted within so many shares of each length.
-SHARES = 64
+#: Ranks are counted within shares of each length, which hold about so many pieces each.
+SHARE = 250_000
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[int]:
@@ -133,23 +133,28 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece of the documents of docs (doc_id, text), with its sequence and its offset there.
 
-    A null or empty text gives one piece, the end id. Repeated rows and null doc_ids are packed as any other.
-    An empty table gives an empty one; other columns are left out. The lengths' counts (at most capacity rows)
-    and the plan (a few rows per length) are the only things on the driver.
+    A null or empty text gives one piece, the end id; a very long one as many as it takes. Repeated rows and null
+    doc_ids are packed as any other; equal lengths are ordered by doc_id, piece and checksum within a share. An empty
+    table gives an empty one; other columns are left out. The lengths' counts (at most capacity rows), the plan (a few
+    rows per length) and one count per share, a row for SHARE pieces, are the only things on the driver.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path("byte_bpe_50k.json")
     scratch = Scratch(spark, "packing")
-    cut = pieces(docs, path, capacity, end_id).withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARES)).cast("int"))
-    cut = scratch.table(cut, "pieces")
-    counts = scratch.table(cut.groupBy("length", "share").agg(F.count("*").alias("n")), "counts")  # at most capacity * SHARES rows
-    before = counts.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
-    of_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    cut = scratch.table(pieces(docs, path, capacity, end_id), "pieces")
+    of_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(of_length, capacity))
     held = spark.sparkContext.broadcast(where)  # bounded: a few rows per length
 
+    # a length of very many pieces, as that of full ones, is ranked in as many shares as it needs
+    many = {x: -(-n // SHARE) for x, n in of_length.items() if n > SHARE}
+    shares = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in many.items() for v in pair]), F.col("length")), F.lit(1)) if many else F.lit(1)
+    cut = cut.withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shares).cast("int"))
+    counts = scratch.table(cut.groupBy("length", "share").agg(F.count("*").alias("n")), "counts")
+    before = counts.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
+
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "share"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(before, ["length", "share"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(rank: pd.Series, length: pd.Series) -> pd.DataFrame:
