@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import shared_folder
+
 #: Text of printable ASCII, tab, line feed, carriage return and Latin-1 letters. On it every Unicode
 #: version, regular-expression library and normal form agrees.
 PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local mode)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-    own = os.environ.get("TESSERAE_LOCAL_SHARED")
-    if not own:
-        own = os.environ["TESSERAE_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="tesserae-")
-    return f"file://{own}"
-
-
 class Scratch:
     """Written tables in the shared folder. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.made, self.n = spark, shared_folder(spark, name), {}, 0
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns the written table; call drop(name) when nothing reads it any more."""
-        key = f"{name}-{len(self.made)}"
+        key, self.n = f"{name}-{self.n}", self.n + 1
         path = f"{self.root}/{key}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -48,13 +34,21 @@ class Scratch:
     def folder(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def drop(self, *names: str) -> None:
-        """Removes the written tables of these names."""
-        jvm = self.spark._jvm
-        for key in [k for k in self.made if k.rsplit("-", 1)[0] in names]:
-            path = jvm.org.apache.hadoop.fs.Path(self.made.pop(key))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            self.made[f"gone-{key}-{len(self.made)}"] = str(path)
+    def drop(self, *names: str, last: int = 0) -> None:
+        """Removes the written tables of these names, but for so many of the last ones of each."""
+        for name in names:
+            keys = [k for k in self.made if k.rsplit("-", 1)[0] == name]
+            for key in keys[: len(keys) - last]:
+                self._remove(self.made.pop(key))
+
+    def close(self) -> None:
+        """Removes all that is left, the result's own tables included; call it when the result has been read."""
+        self.made.clear()
+        self._remove(self.root)
+
+    def _remove(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

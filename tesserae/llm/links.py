@@ -25,6 +25,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         small = large.join(least, "u")
         small = small.select(F.greatest("u", "m").alias("u"), F.least("u", "m").alias("v")).union(small.where("v <> m").select(F.greatest("v", "m"), F.least("v", "m"))).where("u <> v").distinct()
         after = scratch.table(small, name)
+        scratch.drop(name, last=2)
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         stars = after
         if mark == before:
