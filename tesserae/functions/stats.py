@@ -1,42 +1,92 @@
 """Mergeable statistics: what a leaf stores, how leaves merge, and what is derived from them.
 
-A leaf stores additive sums only, so that merging is sum, min and max and stays in generated code. Sums are of values
-less a constant shift per feature, which keeps variances of large values exact.
+A leaf stores sums relative to an origin that it carries with it: o_f, the sum s_f of the differences from it, the sum
+q_f of their squares, and the sums p_a_b of products of differences. With an origin near the values nothing cancels,
+however large they are; so merging is sum, min and max in one pass, with partial sums in generated code. A sketch takes
+its origins from its ticks. Without given origins, a group's own mean is taken, and merging needs rebased() first.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _shifted(feature: str, shifts: dict[str, float]) -> Column:
-    return F.col(feature).cast("double") - F.lit(float(shifts.get(feature, 0.0)))
+@dataclass(frozen=True)
+class Extra:
+    """A further statistic of a leaf, a function of raw rows that merges by another: UDAF as two expressions in SQL.
+    merge takes the name of the stored column."""
+
+    name: str
+    of_rows: str
+    merge: str
+
+    def leaf(self) -> Column:
+        return F.expr(self.of_rows).alias(self.name)
+
+    def merged(self) -> Column:
+        return F.expr(self.merge).alias(self.name)
+
+
+def _value(feature: str) -> Column:
+    return F.col(feature).cast("double")
 
 
 def leaf_aggregates(features: list[str], shifts: dict[str, float] | None = None) -> list[Column]:
-    """n; per feature sum, sum of squares, minimum, maximum; per pair the sum of products."""
-    s = shifts or {}
+    """n; per feature origin, sum, sum of squares, minimum, maximum; per pair the sum of products. Features without an
+    entry in shifts have the origin 0; without shifts, the origin is the group's mean."""
     out = [F.count(F.lit(1)).alias("n")]
     for f in features:
-        x = _shifted(f, s)
-        out += [F.sum(x).alias(f"s_{f}"), F.sum(x * x).alias(f"q_{f}"), F.min(F.col(f).cast("double")).alias(f"min_{f}"), F.max(F.col(f).cast("double")).alias(f"max_{f}")]
-    return out + [F.sum(_shifted(a, s) * _shifted(b, s)).alias(f"p_{a}_{b}") for a, b in combinations(features, 2)]
+        if shifts is None:
+            own = [F.avg(_value(f)).alias(f"o_{f}"), F.when(F.count(f) > 0, 0.0).alias(f"s_{f}"), (F.var_pop(_value(f)) * F.count(f)).alias(f"q_{f}")]
+        else:
+            x = _value(f) - F.lit(float(shifts.get(f, 0.0)))
+            own = [F.lit(float(shifts.get(f, 0.0))).alias(f"o_{f}"), F.sum(x).alias(f"s_{f}"), F.sum(x * x).alias(f"q_{f}")]
+        out += [*own, F.min(_value(f)).alias(f"min_{f}"), F.max(_value(f)).alias(f"max_{f}")]
+    for a, b in combinations(features, 2):
+        if shifts is None:
+            pair = F.covar_pop(_value(a), _value(b)) * F.regr_count(_value(a), _value(b))
+        else:
+            pair = F.sum((_value(a) - F.lit(float(shifts.get(a, 0.0)))) * (_value(b) - F.lit(float(shifts.get(b, 0.0)))))
+        out.append(pair.alias(f"p_{a}_{b}"))
+    return out
 
 
 def merge_aggregates(features: list[str]) -> list[Column]:
-    """The same columns from rows that have them."""
+    """The same columns from rows that have them. All rows must have the same origins; others fail the query."""
     out = [F.sum("n").alias("n")]
     for f in features:
-        out += [F.sum(f"s_{f}").alias(f"s_{f}"), F.sum(f"q_{f}").alias(f"q_{f}"), F.min(f"min_{f}").alias(f"min_{f}"), F.max(f"max_{f}").alias(f"max_{f}")]
+        one = F.when(F.min(f"o_{f}") == F.max(f"o_{f}"), F.min(f"o_{f}")).when(F.count(f"o_{f}") > 0, F.raise_error(F.lit(f"leaves with other origins of {f}: rebase them")).cast("double"))
+        out += [one.alias(f"o_{f}"), F.sum(f"s_{f}").alias(f"s_{f}"), F.sum(f"q_{f}").alias(f"q_{f}"), F.min(f"min_{f}").alias(f"min_{f}"), F.max(f"max_{f}").alias(f"max_{f}")]
     return out + [F.sum(f"p_{a}_{b}").alias(f"p_{a}_{b}") for a, b in combinations(features, 2)]
 
 
-def mean(f: str, shift: float = 0.0) -> Column:
-    return F.col(f"s_{f}") / F.col("n") + F.lit(shift)
+def rebased(df: DataFrame, features: list[str], shifts: dict[str, float]) -> DataFrame:
+    """Rows of statistics with other origins."""
+    by = {f: F.col(f"o_{f}") - F.lit(float(shifts.get(f, 0.0))) for f in features}
+    out = {f"p_{a}_{b}": F.col(f"p_{a}_{b}") + by[a] * F.col(f"s_{b}") + by[b] * F.col(f"s_{a}") + F.col("n") * by[a] * by[b] for a, b in combinations(features, 2)}
+    for f in features:
+        out |= {f"q_{f}": F.col(f"q_{f}") + 2 * by[f] * F.col(f"s_{f}") + F.col("n") * by[f] * by[f], f"s_{f}": F.col(f"s_{f}") + F.col("n") * by[f], f"o_{f}": F.lit(float(shifts.get(f, 0.0)))}
+    return df.withColumns(out)
+
+
+def sums(features: list[str]) -> list[Column]:
+    """n and the sums of values, squares and products themselves, minima and maxima."""
+    out = [F.col("n")]
+    for f in features:
+        o, s = F.col(f"o_{f}"), F.col(f"s_{f}")
+        out += [(s + F.col("n") * o).alias(f"s_{f}"), (F.col(f"q_{f}") + 2 * o * s + F.col("n") * o * o).alias(f"q_{f}"), F.col(f"min_{f}"), F.col(f"max_{f}")]
+    for a, b in combinations(features, 2):
+        out.append((F.col(f"p_{a}_{b}") + F.col(f"o_{a}") * F.col(f"s_{b}") + F.col(f"o_{b}") * F.col(f"s_{a}") + F.col("n") * F.col(f"o_{a}") * F.col(f"o_{b}")).alias(f"p_{a}_{b}"))
+    return out
+
+
+def mean(f: str) -> Column:
+    return F.col(f"o_{f}") + F.col(f"s_{f}") / F.col("n")
 
 
 def m2(f: str) -> Column:
@@ -55,8 +105,7 @@ def std(f: str, ddof: int = 1) -> Column:
 
 def cross(a: str, b: str) -> Column:
     """Sum of products of differences from the means."""
-    name = f"p_{a}_{b}"
-    return F.col(name) - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")
+    return F.col(f"p_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")
 
 
 def slope(x: str, y: str, pair: Column | None = None) -> Column:
@@ -83,9 +132,10 @@ def density(f: str, at: float) -> Column:
 
 
 def retract(f: str, value: float) -> dict[str, Column]:
-    """n, sum and sum of squares without one value; minimum and maximum stay as they were. An only value leaves zeros."""
-    left = F.col("n") > 1
-    return {"n": F.when(left, F.col("n") - 1).otherwise(0), f"s_{f}": F.when(left, F.col(f"s_{f}") - value).otherwise(0.0), f"q_{f}": F.when(left, F.col(f"q_{f}") - value * value).otherwise(0.0)}
+    """n, sum and sum of squares without one value; origin, minimum and maximum stay as they were. An only value leaves
+    zeros."""
+    left, x = F.col("n") > 1, F.lit(float(value)) - F.col(f"o_{f}")
+    return {"n": F.when(left, F.col("n") - 1).otherwise(0), f"s_{f}": F.when(left, F.col(f"s_{f}") - x).otherwise(0.0), f"q_{f}": F.when(left, F.col(f"q_{f}") - x * x).otherwise(0.0)}
 
 
 def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:

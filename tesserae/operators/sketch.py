@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import exprs, stats
@@ -13,12 +13,17 @@ from tesserae.functions import exprs, stats
 
 @dataclass
 class SketchConfig:
-    """ticks: per feature, in plane order. Planes are time, the features, location."""
+    """ticks: per feature, in plane order. Planes are time, the features, location. shifts: the origin of a feature's
+    sums, its middle tick if it is not given. extra: further statistics of a leaf."""
 
     ticks: dict[str, list[float]]
     hours: int = 6
     precision: int = 5
     shifts: dict[str, float] = field(default_factory=dict)
+    extra: tuple[stats.Extra, ...] = ()
+
+    def __post_init__(self):
+        self.shifts = {f: float(t[len(t) // 2]) for f, t in self.ticks.items()} | self.shifts
 
     @property
     def features(self) -> list[str]:
@@ -34,8 +39,9 @@ CONFIG = SketchConfig({"value": [0.0, 5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 150.0,
 
 
 def quantized(obs: DataFrame, config: SketchConfig = CONFIG, strict: bool = True) -> DataFrame:
-    """obs with the plane labels plane_<name>. strict drops rows that lack a feature; else they get a null label."""
-    obs = obs.dropna(subset=config.features) if strict else obs
+    """obs with the plane labels plane_<name>. strict drops rows that lack a feature, time or place; else they get a null
+    label. Statistics of a feature that rows lack cover only leaves that have it."""
+    obs = obs.dropna(subset=[*config.features, "ms", "lat", "lon"]) if strict else obs
     labels = {"time": exprs.time_bucket("ms", config.hours), "location": exprs.geohash("lat", "lon", config.precision)}
     labels |= {f: exprs.quantize(f, t) for f, t in config.ticks.items()}
     return obs.withColumns({f"plane_{p}": F.expr(labels[p]) for p in config.planes})
@@ -43,19 +49,24 @@ def quantized(obs: DataFrame, config: SketchConfig = CONFIG, strict: bool = True
 
 def build(obs: DataFrame, config: SketchConfig = CONFIG, strict: bool = True) -> DataFrame:
     """The leaf table. One shuffle, of partial sums."""
-    rows = quantized(obs, config, strict).select(*[f"plane_{p}" for p in config.planes], *config.features)
-    out = rows.groupBy(*[f"plane_{p}" for p in config.planes]).agg(*stats.leaf_aggregates(config.features, config.shifts))
+    out = quantized(obs, config, strict).groupBy(*[f"plane_{p}" for p in config.planes])
+    out = out.agg(*stats.leaf_aggregates(config.features, config.shifts), *[x.leaf() for x in config.extra])
     return out.withColumnsRenamed({f"plane_{p}": p for p in config.planes})
 
 
 def merge(*leaves: DataFrame, config: SketchConfig = CONFIG) -> DataFrame:
     """Leaves of equal labels become one; null labels are equal."""
-    return reduce(lambda a, b: a.unionByName(b), leaves).groupBy(*config.planes).agg(*stats.merge_aggregates(config.features))
+    return regroup(reduce(lambda a, b: a.unionByName(b), leaves), config.planes, config)
+
+
+def merged(config: SketchConfig) -> list[Column]:
+    """The aggregates that merge leaves."""
+    return [*stats.merge_aggregates(config.features), *[x.merged() for x in config.extra]]
 
 
 def regroup(leaves: DataFrame, planes: list[str], config: SketchConfig = CONFIG) -> DataFrame:
     """Leaves merged over fewer planes, or over planes whose labels were made coarser."""
-    return leaves.groupBy(*planes).agg(*stats.merge_aggregates(config.features))
+    return leaves.groupBy(*planes).agg(*merged(config))
 
 
 def split(leaves: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +94,36 @@ def memory(leaves: DataFrame, planes: list[str], prefix: str | None = None) -> D
     return counts(own, planes).select("vertices", "leaves", F.expr(exprs.memory_bytes("vertices", "leaves", len(planes))).alias("bytes"))
 
 
+def memory_by_prefix(leaves: DataFrame, planes: list[str], length: int) -> DataFrame:
+    """(prefix, vertices, leaves, bytes): the same for every geohash prefix of a length, in one aggregate."""
+    own = leaves.withColumn("prefix", F.substring("location", 1, length))
+    depth = len(planes) + 1 - F.bit_count(F.grouping_id())
+    rolled = own.rollup("prefix", *planes).agg(depth.cast("int").alias("depth")).where("depth > 1")
+    out = rolled.groupBy("prefix").agg(F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("depth") == len(planes) + 1).alias("leaves"))
+    return out.withColumn("bytes", F.expr(exprs.memory_bytes("vertices", "leaves", len(planes))))
+
+
+def first_locations(leaves: DataFrame, planes: list[str], length: int) -> DataFrame:
+    """(prefix, vertices): each vertex counts for the least location of its leaves, so that the sum is that of the tree."""
+    depth = len(planes) - F.bit_count(F.grouping_id())
+    own = leaves.withColumn("_at", F.col("location"))
+    rolled = own.rollup(*planes).agg(depth.alias("depth"), F.min("_at").alias("first")).where("depth > 0")
+    return rolled.groupBy(F.substring("first", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("vertices"))
+
+
+def hierarchy(leaves: DataFrame, config: SketchConfig = CONFIG) -> list[tuple[int, str, str]]:
+    """(plane, name, type) as a leaf table has them; ValueError if it lacks a plane."""
+    types = dict(leaves.dtypes)
+    if missing := [p for p in config.planes if p not in types]:
+        raise ValueError(f"no such plane: {', '.join(missing)}")
+    return [(i, p, types[p]) for i, p in enumerate(config.planes)]
+
+
+def plane_sizes(leaves: DataFrame, planes: list[str]) -> DataFrame:
+    """One row: the distinct labels of each plane."""
+    return leaves.agg(*[F.count_distinct(p).alias(p) for p in planes])
+
+
 def fan_out(leaves: DataFrame, planes: list[str]) -> DataFrame:
     """(plane, vertices, edges_out, score): edges to the next plane over vertices."""
     levels = vertices(leaves, planes)
@@ -131,6 +172,25 @@ def prefix_counts(leaves: DataFrame, length: int) -> DataFrame:
     return leaves.groupBy(F.substring("location", 1, length).alias("prefix")).agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("rows"))
 
 
-def write(leaves: DataFrame, path: str) -> None:
-    """A snapshot, by the first two characters of the location, so that a prefix query reads only its folders."""
-    leaves.withColumn("p2", F.substring("location", 1, 2)).repartition("p2").sortWithinPartitions("location", "time").write.mode("overwrite").partitionBy("p2").parquet(path)
+def write(leaves: DataFrame, path: str, codec: str = "zstd", characters: int = 2) -> None:
+    """A snapshot, by the first characters of the location in the partition column p<characters>, so that a prefix query
+    reads only its folders. Rebalancing splits folders of very many leaves over tasks and puts small ones together.
+    codec: none, gzip, zstd or another of the file format."""
+    place = f"p{characters}"
+    own = leaves.withColumn(place, F.substring("location", 1, characters)).hint("rebalance", place)
+    own.sortWithinPartitions(place, "location", "time").write.mode("overwrite").option("compression", codec).partitionBy(place).parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The leaves of a snapshot, with the partition column on which Query prunes."""
+    return spark.read.parquet(path)
+
+
+def write_prefix_counts(leaves: DataFrame, path: str, length: int = 4) -> None:
+    """prefix, leaves, rows as CSV files."""
+    prefix_counts(leaves, length).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_prefix_memory(leaves: DataFrame, planes: list[str], path: str, length: int = 2) -> None:
+    """prefix, bytes as CSV files."""
+    memory_by_prefix(leaves, planes, length).select("prefix", "bytes").write.mode("overwrite").option("header", True).csv(path)

@@ -56,9 +56,11 @@ class Expr:
 
 @dataclass
 class Query:
-    """A set of terms."""
+    """A set of terms. partitioned: the table has a partition column of so many first characters of the location, p1, p2
+    and so on; check() finds it."""
 
     terms: list[Expr] = field(default_factory=list)
+    partitioned: int = 0
 
     def add(self, *terms: Expr) -> Query:
         self.terms += terms
@@ -78,7 +80,7 @@ class Query:
         """The query without terms on features that columns lack (unknown="ignore"); "prune" makes it match nothing."""
         missing = [f for f in self.features() if f not in columns]
         if not missing or unknown == "ignore":
-            return Query([t for t in self.terms if t.feature not in missing])
+            return Query([t for t in self.terms if t.feature not in missing], next((k for k in range(1, 13) if f"p{k}" in columns), 0))
         if unknown == "prune":
             return Never()
         raise ValueError(f"no such plane: {', '.join(missing)}")
@@ -88,13 +90,12 @@ class Query:
         return reduce(and_, by + self.implied(), F.lit(True))
 
     def implied(self) -> list[Column]:
-        """Conditions on the partition column p2 that follow from those on location; they let a scan skip folders."""
-        own = [t for t in self.terms if t.feature == "location"]
-        if not own or any(t.kind not in ("eq", "starts") or len(str(t.value)) < 2 for t in own):
+        """Conditions on the partition column that follow from those on location; they let a scan skip folders."""
+        own, k = [t for t in self.terms if t.feature == "location"], self.partitioned
+        if not k or not own or any(t.kind not in ("eq", "starts") or not t.value for t in own):
             return []
-        return [F.col("p2").isin(*{str(t.value)[:2] for t in own})] if self.partitioned else []
-
-    partitioned: bool = False
+        place = F.col(f"p{k}")
+        return [reduce(or_, [place == t.value[:k] if len(t.value) >= k else place.startswith(t.value) for t in own])]
 
     def where(self) -> str:
         return " AND ".join("(" + " OR ".join(t.to_sql() for t in self.terms if t.feature == f) + ")" for f in self.features()) or "TRUE"
