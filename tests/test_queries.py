@@ -43,8 +43,23 @@ def test_hll_is_near_the_exact_count(spark):
     distinct = {t: obs.where(f"event_type = '{t}'").select("user_id").distinct().count() for t in exact}
     for r in approx.merge_cardinality(approx.cardinality(obs, ["event_type"], "user_id"), ["event_type"]).collect():
         assert abs(r["estimate"] - distinct[r["event_type"]]) <= 0.05 * distinct[r["event_type"]]
-    known = approx.bloom(obs, "user_id", 1000)
-    assert all(known.mightContain(r["user_id"]) for r in obs.select("user_id").distinct().collect())
+    known = approx.bloom(obs.where("user_id % 2 = 0"), ["user_id"], 1000)
+    rows = known.might_contain(spark.range(10_000).withColumnRenamed("id", "user_id"), ["user_id"]).join(obs.where("user_id % 2 = 0").select("user_id").distinct(), "user_id", "left_anti")
+    assert known.might_contain(obs.where("user_id % 2 = 0"), ["user_id"]).where("not might").count() == 0
+    assert rows.where("might").count() <= 0.03 * rows.count() and known.rate().first()["rate"] <= 0.015
+    with pytest.raises(ValueError):
+        approx.bloom(obs, ["user_id"], 10**9)
+
+
+def test_count_min_bounds(spark):
+    from tesserae.operators import approx
+
+    items = spark.range(20_000).selectExpr("cast(pow(id, 0.6) as bigint) as item")
+    exact = items.groupBy("item").count()
+    rows = approx.count_min(items, "item", 0.01, 0.99).estimate(exact, "item").collect()
+    assert all(r["estimate"] >= r["count"] and r["bound"] == 200 for r in rows)
+    assert sum(r["estimate"] > r["count"] + r["bound"] for r in rows) <= 0.01 * len(rows)
+    assert approx.count_min(items.limit(0), "item").estimate(exact, "item").where("estimate > 0").count() == 0
 
 
 def test_forest_has_the_surveyed_size(spark, monkeypatch):
