@@ -64,5 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else scratch.table(out, f"stage{i}")
+        if i == len(STAGES) - 1:
+            return out
+        docs = scratch.table(out, f"stage{i}")
+        scratch.drop(f"stage{i - 1}")  # all of it is in the new table
     return docs
