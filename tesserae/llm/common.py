@@ -41,6 +41,10 @@ class Scratch:
             for key in keys[: len(keys) - last]:
                 self._remove(self.made.pop(key))
 
+    def keep(self, *names: str) -> None:
+        """Removes all written tables but those of these names."""
+        self.drop(*{key.rsplit("-", 1)[0] for key in self.made} - set(names))
+
     def close(self) -> None:
         """Removes all that is left, the result's own tables included; call it when the result has been read."""
         self.made.clear()

@@ -265,6 +265,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     graph = scratch.table(_top(_leaves(units, n, TREES, 0, scratch), K), "graph")
     for _ in range(ROUNDS):
         graph = scratch.table(_top(graph.union(_descend(graph, units)), K), "graph")
+        scratch.drop("graph", last=1)
+    scratch.drop("leaves")
     truth = scratch.table(_audit(own, threshold), "audit")
     real = truth.count()
     for more in range(MORE + 1):
@@ -301,6 +303,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     least = of_class.groupBy("label").agg(F.min("first").alias("component_id"))
     of_class = of_class.join(least, "label").join(in_lists, "cid", "left").join(in_dense, "cid", "left")
     of_class = scratch.table(of_class.select("cid", "component_id", (F.coalesce("n", "listed", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "result")
+    scratch.keep("result")
     out = vectors.select("vec_id", class_id(F.col("embedding")).alias("cid")).join(of_class, "cid", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

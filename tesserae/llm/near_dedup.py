@@ -274,7 +274,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
     own = reps.select("sid", "doc_id").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = scratch.table(own.join(least, "label").select("sid", "component_id"), "components")
-    scratch.drop("labelled", "blocks", "sets")
+    scratch.keep("sketches", "components")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(of_set, "sid", "left")
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
