@@ -31,6 +31,8 @@ from tesserae.llm.links import components
 K, LEAF, TREES, ROUNDS = 8, 256, 6, 2
 AUDIT, RECALL, MORE = 256, 0.999, 3
 BLOCK = 512
+#: Hubs whose members are compared in one call: some 2,000 vectors.
+HUBS = 128
 #: Cells in a block of centres.
 CENTRES = 2048
 EDGE = "cid binary, other binary, sim double"
@@ -75,8 +77,8 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return edges.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int, floor: np.ndarray | None = None) -> pd.DataFrame:
-    """Edges from each row to its k most similar others, if they beat the row's floor."""
+def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
+    """Edges from each row to its k most similar others."""
     n = len(ids)
     np.fill_diagonal(sims, -np.inf)
     k = min(k, n - 1)
@@ -84,9 +86,7 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int, floor: np.ndarray | None =
         return pd.DataFrame({"cid": [], "other": [], "sim": []})
     at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     sim = np.take_along_axis(sims, at, axis=1)
-    good = sim > (floor[:, None] if floor is not None else -np.inf)
-    row = np.repeat(np.arange(n)[:, None], k, axis=1)[good]
-    return pd.DataFrame({"cid": ids[row], "other": ids[at[good]], "sim": np.clip(sim[good], -1, 1)})
+    return pd.DataFrame({"cid": np.repeat(ids, k), "other": ids[at.ravel()], "sim": np.clip(sim.ravel(), -1, 1)})
 
 
 def _dealt_leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) -> DataFrame:
@@ -121,22 +121,42 @@ def _leaves(own: DataFrame, n: int, trees: int, seed: int, scratch: Scratch) ->
     return _dealt_leaves(own, n, trees, seed, scratch).groupBy("tree", "code", "dim", "part").applyInPandas(leaf, EDGE)
 
 
-def _descend(graph: DataFrame, own: DataFrame) -> DataFrame:
-    """One round: neighbours of a hub are compared with each other."""
+def _descend(graph: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """One round: neighbours of a hub are compared with each other. A hub has at most 2 K + 1 of them, itself included;
+    a task works through some HUBS hubs at a time."""
     floor = graph.groupBy("cid").agg(F.min("sim").alias("floor"), F.count("*").alias("n")).select(F.col("cid").alias("member"), F.when(F.col("n") >= K, F.col("floor")).otherwise(-2.0).alias("floor"))
     rank = Window.partitionBy("other").orderBy(F.col("sim").desc(), "cid")
     reverse = graph.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= K).select(F.col("other").alias("hub"), F.col("cid").alias("member"))
     seats = graph.select(F.col("cid").alias("hub"), F.col("other").alias("member")).union(reverse).union(graph.select("cid", "cid").distinct()).distinct()
     seats = seats.join(own.select(F.col("cid").alias("member"), "unit").join(floor, "member"), "member")
+    seats = seats.withColumn("some", F.pmod(F.xxhash64("hub"), F.lit(-(-max(1, n) // HUBS))))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, same in pdf.groupby(pdf["unit"].str.len()):
-            x = _unit(same["unit"])
-            out.append(_best(same["member"].to_numpy(), x @ x.T, K, same["floor"].to_numpy()))
-        return pd.concat(out)
-
-    return seats.groupBy("hub").applyInPandas(join, EDGE)
+            out += _around_hubs(same["hub"], same["member"].to_numpy(), _unit(same["unit"]), same["floor"].to_numpy())
+        return pd.concat(out) if out else pd.DataFrame({"cid": [], "other": [], "sim": []})
+
+    return seats.groupBy("some").applyInPandas(join, EDGE)
+
+
+def _around_hubs(hubs: pd.Series, ids: np.ndarray, x: np.ndarray, floor: np.ndarray) -> list[pd.DataFrame]:
+    """For each hub the edges from each of its members to the K most similar others, if they beat the member's floor.
+    Hubs of equally many members are worked through together."""
+    hub = pd.factorize(hubs)[0]
+    order, sizes = np.argsort(hub, kind="stable"), np.bincount(hub)
+    starts, out = np.cumsum(sizes) - sizes, []
+    for size in np.unique(sizes[sizes > 1]):
+        rows = order[starts[sizes == size][:, None] + np.arange(size)]
+        sims = x[rows] @ x[rows].transpose(0, 2, 1)
+        sims[:, np.arange(size), np.arange(size)] = -np.inf
+        k = min(K, size - 1)
+        at = np.argpartition(-sims, k - 1, axis=2)[:, :, :k]
+        sim = np.take_along_axis(sims, at, axis=2)
+        h, member, place = np.nonzero(sim > floor[rows][:, :, None])
+        other = rows[h, at[h, member, place]]
+        out.append(pd.DataFrame({"cid": ids[rows[h, member]], "other": ids[other], "sim": np.clip(sim[h, member, place], -1, 1)}))
+    return out
 
 
 def _audit(own: DataFrame, threshold: float) -> DataFrame:
@@ -264,7 +284,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     graph = scratch.table(_top(_leaves(units, n, TREES, 0, scratch), K), "graph")
     for _ in range(ROUNDS):
-        graph = scratch.table(_top(graph.union(_descend(graph, units)), K), "graph")
+        graph = scratch.table(_top(graph.union(_descend(graph, units, n)), K), "graph")
         scratch.drop("graph", last=1)
     scratch.drop("leaves")
     truth = scratch.table(_audit(own, threshold), "audit")
@@ -285,7 +305,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
             labels = scratch.table(labels, "labels")
             break
         graph = scratch.table(_top(graph.union(_leaves(units, n, TREES, more + 1, scratch)), K), "graph")
-        graph = scratch.table(_top(graph.union(_descend(graph, units)), K), "graph")
+        graph = scratch.table(_top(graph.union(_descend(graph, units, n)), K), "graph")
 
     full = scratch.table(full, "saturated")
     saturated = lambda: labels.withColumnRenamed("node", "cid").join(full, "cid").join(units, "cid")

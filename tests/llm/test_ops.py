@@ -588,3 +588,20 @@ def test_pipeline(spark, docs, odd):
         assert hidden[10] == "[SECRET] [SECRET] [SECRET]" and hidden[2] is None and hidden[1] == "The the cat."
     for name, stage in stages.items():
         assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
+def test_members_of_hubs_against_single_comparisons():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seats = [(h, int(m)) for h, size in enumerate((1, 2, 5, 17, 17, 9)) for m in rng.choice(40, size, replace=False)]
+    seats = [seats[i] for i in rng.permutation(len(seats))]
+    hub, member = zip(*seats, strict=True)
+    floor = np.where(np.arange(40) % 2, 0.1, -2.0)
+    got = pd.concat(embed_dedup._around_hubs(pd.Series(hub), np.array(member), x[list(member)], floor[list(member)]))
+    want = []
+    for h, m in seats:
+        others = sorted(((float(x[m] @ x[o]), o) for g, o in seats if g == h and o != m), reverse=True)
+        want += [(m, o) for sim, o in others[: embed_dedup.K] if sim > floor[m]]
+    assert sorted(zip(got["cid"], got["other"], strict=True)) == sorted(want)
+    assert np.allclose(got["sim"], [x[a] @ x[b] for a, b in zip(got["cid"], got["other"], strict=True)])
