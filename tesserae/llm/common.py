@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,26 @@ class Scratch:
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bounds of an Arrow batch of texts, for operators whose tasks hold two texts a row or much else beside them.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written within it passes through Python in small batches; the session's own bounds then hold again."""
+    before = {key: spark.conf.get(key, None) for key in SMALL}
+    try:
+        for key, value in SMALL.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Scratch, per_text
+from tesserae.llm.common import Scratch, per_text, small_batches
 from tesserae.llm.links import components
 
 COORDINATES = 64
@@ -222,8 +222,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
     repeat a doc_id are kept or dropped alike. A null doc_id never names a component, unless all its members have
     none; then they are kept. An empty table gives an empty one; other columns are left out.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
+    with small_batches(docs.sparkSession):
+        return _classes_of(docs)
+
+
+def _classes_of(docs: DataFrame) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_md5", F.md5("text"))
     rows = scratch.table(sketches(docs), "sketches")
 
