@@ -22,8 +22,9 @@ from tesserae.llm.common import per_text, tokenizer_path
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Contexts in which a value is weighed: a credential's name, then :, = or "is", then a value without spaces.
-CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,})""", re.A | re.I)
+#: Contexts in which a value is weighed: a credential's name, by itself or as the last part of a longer one, then :, =
+#: or "is", then a value without spaces.
+CONTEXT = re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credentials?|(?:api|access|private|secret|auth)[_-]?key)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)(?:bearer\x20+|basic\x20+)?["']?([^\s"'<>]{6,})""", re.A | re.I)
 #: The names and verbs by which a text can hold a match at all.
 _HINT = re.compile(r"pass|pwd|secret|token|auth|bearer|credential|(?:api|access|private)[_-]?key", re.A | re.I)
 KINDS = ("assign", "access", "hex", "guess")

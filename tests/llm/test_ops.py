@@ -1,6 +1,7 @@
 """Each operator on small tables: against a plain version of itself, and on nulls, empties, ties and repeats."""
 
 import hashlib
+import time
 import zlib
 
 import duckdb
@@ -255,6 +256,16 @@ def test_secret_hint_is_no_filter():
         assert [k for _, _, k in secret_scan.spans(name + " = Zx9#qL2!vBw81", 10.0)] == ["guess"]
 
 
+def test_secret_context_in_long_names():
+    """A name's parts are not searched anew from each of them: a long chain of parts takes no time."""
+    for name in ("db-pwd", "MY_APP-auth_key", "x" * 50_000 + "_passphrase", "a-" * 200_000 + "pwd"):
+        text = name + " = Zx9#qL2!vBw81"
+        assert secret_scan.spans(text, 10.0) == [(len(name) + 3, len(text), "guess")]
+    began = time.perf_counter()
+    assert secret_scan.spans("pwd " + "a-" * 400_000, 10.0) == []
+    assert time.perf_counter() - began < 5
+
+
 def test_secret_values_past_base_spans(spark):
     import corpus_pipeline
 
