@@ -40,14 +40,14 @@ register("fn22_memory_of_leaves", lambda s, d: leaves(s, d).groupBy("err").agg(F
 def _blobs(s: SparkSession, d: str) -> DataFrame:
     """Observations written as files of a year each and read back, strings and arrays included."""
     root = shared_folder(s, "blobs")
-    own = observations(s, d).where("obs_id % 4 = 0").select("lat", "lon", F.concat(F.lit("o"), "obs_id").alias("name"), F.col("ms").alias("time_start"), (F.col("ms") + 1).alias("time_end"), F.create_map(F.lit("value"), "value", F.lit("k"), "k").alias("features"), F.create_map(F.lit("type"), "event_type").alias("texts"), F.create_map(F.lit("grid"), F.struct(F.array(F.lit(1), F.lit(2)).alias("dims"), F.array("value", "err").alias("data"))).alias("arrays"))
+    own = observations(s, d).select("lat", "lon", F.concat(F.lit("o"), "obs_id").alias("name"), F.col("ms").alias("time_start"), (F.col("ms") + 1).alias("time_end"), F.create_map(F.lit("value"), "value", F.lit("k"), "k").alias("features"), F.create_map(F.lit("type"), "event_type").alias("texts"), F.create_map(F.lit("grid"), F.struct(F.array(F.lit(1), F.lit(2)).alias("dims"), F.array("value", "err").alias("data"))).alias("arrays"))
     for year, part in ((2014, 0), (2015, 1)):
         src.write_blobs(own.where(F.expr(f"time_start % 2 = {part}")), f"{root}/year={year}").agg(F.sum("n_records")).collect()
     got = src.read_blobs(s, root, as_long=True)
     return got.select(F.expr("CAST(substr(name, 2) AS BIGINT)").alias("obs_id"), F.col("year").cast("bigint").alias("year"), "time_start", "time_end", "location", "location_code", F.col("features")["value"].alias("value"), F.col("texts")["type"].alias("event_type"), F.col("arrays")["grid"]["data"][1].alias("err"), F.size(F.col("arrays")["grid"]["dims"]).cast("bigint").alias("dims"))
 
 
-register("src1_src2_src4_snk1_blobs", _blobs, WITH + f"SELECT obs_id, (2014 + ms % 2)::BIGINT AS year, ms AS time_start, ms + 1 AS time_end, {HASH} AS location, {exprs.geohash_to_long(HASH, 5)} AS location_code, value, event_type, err, 2::BIGINT AS dims FROM obs WHERE obs_id % 4 = 0")
+register("src1_src2_src4_snk1_blobs", _blobs, WITH + f"SELECT obs_id, (2014 + ms % 2)::BIGINT AS year, ms AS time_start, ms + 1 AS time_end, {HASH} AS location, {exprs.geohash_to_long(HASH, 5)} AS location_code, value, event_type, err, 2::BIGINT AS dims FROM obs")
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
@@ -149,13 +149,13 @@ def _heaviest(own: DataFrame, q: Query) -> DataFrame:
 
 engine.register_kind("heaviest", _heaviest)
 _PARTLY = "CASE WHEN obs_id % 5 <> 0 THEN value END"
-register("st1_nulls_first", lambda s, d: observations(s, d).where("obs_id < 400").select("obs_id", F.expr(_PARTLY).alias("v")).select("obs_id", F.row_number().over(_order()).cast("bigint").alias("place")), WITH + f"SELECT obs_id, row_number() OVER (ORDER BY {_PARTLY} ASC NULLS FIRST, obs_id) AS place FROM obs WHERE obs_id < 400")
+register("st1_nulls_first", lambda s, d: observations(s, d).select("obs_id", "user_id", F.expr(_PARTLY).alias("v")).select("obs_id", F.row_number().over(_order()).cast("bigint").alias("place")), WITH + f"SELECT obs_id, row_number() OVER (PARTITION BY user_id ORDER BY {_PARTLY} ASC NULLS FIRST, obs_id) AS place FROM obs")
 
 
 def _order():
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_first("v"), "obs_id")
+    return Window.partitionBy("user_id").orderBy(F.asc_nulls_first("v"), "obs_id")
 
 
 register("st8_sigma_trim", lambda s, d: engine.sigma_trim(observations(s, d).select("obs_id", "value"), "value").select("obs_id", "value"), WITH + "SELECT obs_id, value FROM obs, (SELECT avg(value) AS m, stddev_samp(value) AS sd FROM obs) WHERE abs(value - m) <= 2 * sd")
