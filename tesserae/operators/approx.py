@@ -54,53 +54,85 @@ def count_min(df: DataFrame, column: str, eps: float = 0.001, confidence: float
 
 @dataclass(frozen=True)
 class Bloom:
-    """A Bloom filter: one row (bits, set): a map from a bucket's number to its bitmap, and how many bits are set."""
+    """A Bloom filter: a row (part, bits, set) for each of its parts: its bitmaps in their order, and how many bits are
+    set. A hash of a combination names the one part that it is in. A filter of one part is broadcast, others are joined."""
 
-    row: DataFrame
+    rows: DataFrame
     size: int
     hashes: int
+    parts: int = 1
 
     def might_contain(self, df: DataFrame, columns: list[str]) -> DataFrame:
         """df with the column might: false for what is surely not in the filter."""
         place = [_place(columns, i, self.size) for i in range(self.hashes)]
 
         def is_set(p: Column) -> Column:
-            at = F.bitmap_bit_position(p)
-            byte = F.substring(F.try_element_at("_bits", F.bitmap_bucket_number(p)), (at / 8).cast("int") + 1, F.lit(1))
+            at = p % BITMAP
+            byte = F.substring(F.get("_bits", F.floor(p / BITMAP).cast("int")), (at / 8).cast("int") + 1, F.lit(1))
             return F.coalesce(F.floor(F.conv(F.hex(byte), 16, 10).cast("int") / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
 
         hit = [is_set(p) for p in place]
-        own = df.crossJoin(F.broadcast(self.row.select(F.col("bits").alias("_bits"))))
+        bits = self.rows.select(F.col("part").alias("_part"), F.col("bits").alias("_bits"))
+        if self.parts == 1:
+            own = df.crossJoin(F.broadcast(bits))
+        else:
+            own = df.withColumn("_part", _part(columns, self.parts)).join(bits.hint("shuffle_hash"), "_part")
         out = hit[0]
         for h in hit[1:]:
             out = out & h
-        return own.withColumn("might", out).drop("_bits")
+        return own.withColumn("might", out).drop("_part", "_bits")
 
     def rate(self) -> DataFrame:
         """One row: the rate of false positives that the bits set now give."""
-        return self.row.select(F.pow(F.col("set") / self.size, self.hashes).alias("rate"))
+        return self.rows.agg(F.avg(F.pow(F.col("set") / self.size, self.hashes)).alias("rate"))
 
 
 def _place(columns: list[str], i: int, size: int) -> Column:
     return F.pmod(F.xxhash64(*columns, F.lit(i)), F.lit(size))
 
 
-#: A Bloom filter is broadcast; it may have so many bits, 64 MB.
+def _part(columns: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(-1)), F.lit(parts)).cast("long")
+
+
+#: The bits of one of Spark's bitmaps. Fixed value.
+BITMAP = 1 << 15
+#: A Bloom filter of one part is broadcast; it may have so many bits, 64 MB.
 MOST_BITS = 1 << 29
+#: One that would have more is cut into parts of about so many bits, 512 KB.
+PART_BITS = 1 << 22
+
+
+def _bits(items: float, fpp: float) -> int:
+    """The size of a filter for so many items, in whole bitmaps."""
+    return -(-math.ceil(-items * math.log(fpp) / math.log(2) ** 2) // BITMAP) * BITMAP
 
 
-def bloom(df: DataFrame, columns: list[str], items: int, fpp: float = 0.01) -> Bloom:
-    """A filter over combinations of values, for so many of them at a rate of false positives. ValueError if it would be
-    too large to broadcast; members() has no such bound."""
-    size = -(-math.ceil(-items * math.log(fpp) / math.log(2) ** 2) // 32768) * 32768
+def bloom(df: DataFrame, columns: list[str], items: int, fpp: float = 0.01, parts: int = 1) -> Bloom:
+    """A filter over combinations of values, for so many of them at a rate of false positives. ValueError if a part would
+    be too large to broadcast; bloom_of() and members() have no such bound."""
+    size = _bits(items / parts, fpp)
     if size > MOST_BITS:
         raise ValueError(f"a filter of {size} bits is too large to broadcast")
-    hashes = max(1, round(size / items * math.log(2)))
+    hashes = max(1, round(size / (items / parts) * math.log(2)))
     hashes = min(hashes, 16)
-    own = df.select(F.explode(F.array(*[_place(columns, i, size) for i in range(hashes)])).alias("p"))
-    maps = own.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
-    row = maps.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bitmap"))).alias("bits"), F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("set"))
-    return Bloom(row, size, hashes)
+    # bitmaps are numbered through all parts
+    own = df.select(_part(columns, parts).alias("part"), F.explode(F.array(*[_place(columns, i, size) for i in range(hashes)])).alias("p"))
+    maps = own.groupBy((F.col("part") * (size // BITMAP) + F.floor(F.col("p") / BITMAP)).alias("id")).agg(F.bitmap_construct_agg(F.col("p") % BITMAP).alias("bitmap"))
+    every = df.sparkSession.range(parts * (size // BITMAP)).join(maps, "id", "left")
+    rows = every.groupBy(F.floor(F.col("id") / (size // BITMAP)).alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "bitmap"))), lambda m: m["bitmap"]).alias("bits"), F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("set")
+    )
+    return Bloom(rows, size, hashes, parts)
+
+
+def bloom_of(df: DataFrame, columns: list[str], fpp: float = 0.01) -> Bloom:
+    """A filter over all combinations of values in df. They are counted first, so that it keeps to the rate however many
+    there are; one too large to broadcast is in parts."""
+    own = df.select(*columns).distinct()
+    items = max(own.count(), 1)
+    bits = _bits(items, fpp)
+    return bloom(own, columns, items, fpp, 1 if bits <= MOST_BITS else -(-bits // PART_BITS))
 
 
 def members(df: DataFrame, known: DataFrame, column: str) -> DataFrame:

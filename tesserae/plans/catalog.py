@@ -260,12 +260,14 @@ def _frequency(s: SparkSession, d: str) -> DataFrame:
 
 def _member(s: SparkSession, d: str) -> DataFrame:
     """Combinations of user and k among the errors: how many rows have one, whether the filter misses any, and whether
-    its false positives keep to twice the rate asked for, with its own estimate of it."""
-    obs = observations(s, d).select("obs_id", "user_id", F.col("k").cast("bigint").alias("k"), "err")
-    known = obs.where("err > 0").select("user_id", "k").distinct()
-    own = approx.bloom(known, ["user_id", "k"], 50_000, 0.01)
-    rows = own.might_contain(obs, ["user_id", "k"]).join(known.withColumn("is_in", F.lit(True)), ["user_id", "k"], "left").withColumn("is_in", F.coalesce("is_in", F.lit(False)))
-    out = rows.agg(F.count_if("is_in").alias("members"), F.count_if(F.col("is_in") & ~F.col("might")).alias("missed"), (F.count_if(~F.col("is_in") & F.col("might")) <= 0.02 * F.count_if(~F.col("is_in")) + 3).alias("within"))
+    its false positives keep to twice the rate asked for, with its own estimate of it. The filter is asked once for a
+    combination, and a false positive counts once, however many rows it has."""
+    obs = observations(s, d).select("user_id", "k", "err")
+    own = approx.bloom_of(obs.where("err > 0"), ["user_id", "k"], 0.01)
+    every = obs.groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("err") > 0, F.lit(False)).alias("is_in"))
+    rows = own.might_contain(every, ["user_id", "k"])
+    n = [F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("is_in"), F.col("is_in") & ~F.col("might"))]
+    out = rows.agg(n[0].alias("members"), n[1].alias("missed"), (F.count_if(~F.col("is_in") & F.col("might")) <= 0.02 * F.count_if(~F.col("is_in")) + 3).alias("within"))
     return out.crossJoin(own.rate().select((F.col("rate") <= 0.02).alias("rate_within")))
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.plans import catalog
 
@@ -51,6 +52,59 @@ def test_hll_is_near_the_exact_count(spark):
         approx.bloom(obs, ["user_id"], 10**9)
 
 
+def _bloom_query(spark, folder, events):
+    """The query's row and that of its SQL over events of (event_id, user_id, event_type, props)."""
+    events.selectExpr("event_id", "timestamp'2024-01-01 00:00:00' as ts", "user_id", "event_type", "1.0D as value", "props").write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    return tuple(catalog.QUERIES["ag28_membership_bloom"](spark, str(folder)).first()), con.execute(catalog.SQL["ag28_membership_bloom"]).fetchone()
+
+
+def test_bloom_filter_holds_as_many_as_there_are(spark, tmp_path):
+    events = spark.range(0, 200_000, 1, 4).selectExpr("id as event_id", "id div 100 as user_id", "if(id % 2 = 0, 'error', 'view') as event_type", """concat('{"k": ', id % 100, '}') as props""")
+    got, want = _bloom_query(spark, tmp_path, events)
+    assert got == want == (100_000, 0, True, True)
+
+
+def test_bloom_filter_of_nulls_and_fractions(spark, tmp_path):
+    own = [(1, "error", "{}"), (1, "view", "{}"), (2, "error", None), (2, "view", "{}"), (3, "view", "{}"), (None, "error", '{"k": 1}'), (None, "view", '{"k": 1}'), (None, "view", "{}")]
+    own += [(4, "error", '{"k": 1.5}'), (4, "view", '{"k": 1.2}'), (4, "view", '{"k": 1.5}'), (5, "error", '{"k": 0.0}'), (5, "view", '{"k": -0.0}'), (6, "error", '{"k": 1e300}'), (6, None, '{"k": 1e300}'), (7, None, '{"k": 1}')]
+    got, want = _bloom_query(spark, tmp_path, spark.createDataFrame([(i, *r) for i, r in enumerate(own)], "event_id long, user_id long, event_type string, props string"))
+    assert got == want == (12, 0, True, True)
+
+
+def test_bloom_query_counts_a_false_positive_once(spark, tmp_path):
+    """One that has most rows says nothing of the rate."""
+    from tesserae.operators import approx
+
+    known = spark.range(0, 20_000).selectExpr("id as user_id", "1.0D as k")
+    other = spark.range(20_000, 21_000).selectExpr("id as user_id", "1.0D as k")
+    odd = approx.bloom_of(known, ["user_id", "k"]).might_contain(other, ["user_id", "k"]).where("might").first()["user_id"]
+    events = spark.range(0, 23_000).selectExpr("id as event_id", f"if(id < 21000, id, {odd}) as user_id", "if(id < 20000, 'error', 'view') as event_type", """'{"k": 1}' as props""")
+    got, want = _bloom_query(spark, tmp_path, events)
+    assert got == want == (20_000, 0, True, True)
+
+
+def test_bloom_filter_without_items(spark, tmp_path):
+    got, want = _bloom_query(spark, tmp_path, spark.range(50).selectExpr("id as event_id", "id as user_id", "'view' as event_type", """'{"k": 1}' as props"""))
+    assert got == want == (0, 0, True, True)
+
+
+def test_bloom_filter_in_parts(spark, monkeypatch):
+    from tesserae.operators import approx
+
+    monkeypatch.setattr(approx, "MOST_BITS", 1 << 17)
+    monkeypatch.setattr(approx, "PART_BITS", 1 << 16)
+    known = spark.range(0, 40_000).selectExpr("if(id = 7, null, id) as a", "if(id = 8, null, id % 10) as b")
+    own = approx.bloom_of(known, ["a", "b"])
+    assert own.parts == 6 and own.rows.count() == 6
+    asked = known.withColumn("is_in", F.lit(True)).union(spark.range(40_000, 60_000).selectExpr("id", "id % 10", "false"))
+    got = {r["is_in"]: r for r in own.might_contain(asked, ["a", "b"]).groupBy("is_in").agg(F.count("*").alias("n"), F.count_if("might").alias("hit")).collect()}
+    assert tuple(got[True])[1:] == (40_000, 40_000)
+    assert got[False]["n"] == 20_000 and got[False]["hit"] <= 0.015 * 20_000 and own.rate().first()["rate"] <= 0.015
+    assert approx.bloom_of(known.limit(1000), ["a", "b"]).parts == 1
+
+
 def test_count_min_bounds(spark):
     from tesserae.operators import approx
 
